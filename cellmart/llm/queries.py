@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmart.llm import exact_dedup, line_dedup, packing, simhash, token_store
+from cellmart.llm import exact_dedup, language_model, line_dedup, nearest, packing, pieces, pii, quality, simhash, token_store
 from cellmart.llm.common import table
 
 
@@ -16,15 +16,37 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    graded = quality.grade(docs, quality.train(docs, quality.ratings(table(spark, sf_dir, "labels"))))
+    return graded.select("doc_id", "expected_grade", "tail_probability", quality.kept(F.col("tail_probability")).alias("kept"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    counts = [F.regexp_count("base", F.lit(f"(^|,){k}:")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write_tokens(table(spark, sf_dir, "documents"))
     return token_store.read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -35,8 +57,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    back = pieces.decode(pieces.encode(docs))
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_packing, op5_exact_dedup, op8_token_store, op9_line_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_simhash_near_dedup, op2_language_model, op3_packing, op4_quality, op5_exact_dedup,
+            op6_pii, op7_nearest, op8_token_store, op9_line_dedup, op10_sentencepiece,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
