@@ -33,7 +33,6 @@ ROUNDS = 20
 NEAR = 40  # neighbours more characters apart share no chain potential
 
 _MAY = re.compile("[0-9@]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 #: Possessive, and never begun inside a run of digits: the same matches, in linear time.
@@ -41,7 +40,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![0-9])[0-9](?:[\x20().-]{0,3}[0-9]){6,}+")
-_AT = re.compile(r"[^\s@]*@[^\s@]*")
+_AT = re.compile(r"(?<![^\s@])[^\s@]*+@[^\s@]*+")
+_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9]")
 _DIGITS = re.compile("[0-9]")
 
 
@@ -118,12 +118,11 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> list[Node]:
     names = {text[a:b].rpartition("@")[0].casefold() for k, a, b in base if k == "email"}
     # A local part counts as a repeated mention only if it could not be an ordinary word.
     names = {x for x in names if len(x) > 4 and re.search(r"[0-9._+-]", x)}
-    word = re.compile("|".join(map(re.escape, sorted(names, key=len, reverse=True))), re.I) if names else None
     for a, b in gaps:
         taken = 0
         found = [m.span() for p in (_AT, _NUMBER) for m in p.finditer(text, a, b) if len(m[0]) > 4]
-        if word:
-            found += [m.span() for m in word.finditer(text, a, b) if not (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum())]
+        if names:
+            found += [m.span() for m in _LOCAL_RUN.finditer(text, a, b) if m[0].casefold() in names]
         for x, y in sorted(found, key=lambda s: (s[0], -s[1])):
             if x >= taken:
                 made.append((x, y, 0))
@@ -182,8 +181,10 @@ class Field:
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Spans that the field adds; they overlap no base span."""
+        if not base:
+            return []  # nothing that a mention could agree with
         found = nodes(text, base)
-        if all(x.kind for x in found) or not base:
+        if all(x.kind for x in found):
             return []
         p = self.marginals(found)
         best = p.argmax(axis=1)
