@@ -3,7 +3,7 @@
 P(grade <= k) = sigmoid(threshold_k - w.x): all grades share the weights w of hashed features, and the thresholds are
 ordered. The model gives the expected grade and the tail probability P(grade >= cut) by which documents are selected.
 
-Features: each different word (lower case) once; each token shape (letters, capitals, digits folded; runs folded) and the
+Features: each different word (lower case) and each beginning of STEM letters once; each token shape (letters, capitals, digits folded; runs folded) and the
 tokens that repeat the one before them, with SCALE times the square root of their share of the tokens. The weights are fitted on a sample of at most SAMPLE rated documents, those of the
 smallest hashed doc_id, so that the sample is the same at every run; the result holds every document.
 """
@@ -29,6 +29,7 @@ BITS = 22
 EPOCHS = 12
 SCALE = 6.0
 LEAST_DOCS = 5
+STEM = 4
 CUT = 2
 _WORD = re.compile(r"\w+")
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -41,7 +42,9 @@ _CLASS = bytes(
 def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values) of the text's features; equal indices may repeat."""
     mask = (1 << bits) - 1
-    words = [zlib.crc32(w.encode()) & mask for w in set(_WORD.findall(text.lower()))]
+    found = set(_WORD.findall(text.lower()))
+    words = [zlib.crc32(w.encode()) & mask for w in found]
+    words += [zlib.crc32(w.encode(), 2) & mask for w in {w[:STEM] for w in found if len(w) > STEM}]
     shapes: Counter[bytes] = Counter()
     raw = text.encode("utf-8", "replace")
     tokens = raw.split()
