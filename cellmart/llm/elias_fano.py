@@ -1,18 +1,17 @@
 """Elias-Fano sequences in flat bytes, searched by whole arrays of queries.
 
 A sorted sequence of n integers below u keeps l = log2(u / n) low bits of each in a packed array, and the rest as unary gaps in
-a bit vector: element i sets bit (x >> l) + i, so zeros separate the values of the high part. Every STEP-th zero and every
-STEP-th one has its place in a directory; the last steps of a select run over 56-bit windows.
+a bit vector: element i sets bit (x >> l) + i, so zeros separate the values of the high part. A directory holds the zeros before
+each block of BLOCK words; a select halves the directory and steps through the words of one block, however dense or sparse
+the sequence is there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-STEP = 32
+BLOCK = 8
 _U = np.uint64
-_ONES, _LOW7 = _U(0x0101010101010101), _U(0x7F7F7F7F7F7F7F7F)
-_WINDOW, _MASK = 56, _U((1 << 56) - 1)
 
 
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -42,11 +41,11 @@ def encode(x: np.ndarray, u: int) -> bytes:
     if low > 56:
         raise ValueError("the universe is too large for so few elements")
     high = (x >> _U(low)).astype(np.int64)
-    bits = np.zeros((u >> low) + n + 2, np.uint8)
+    bits = np.zeros(-(-((u >> low) + n + 2) // (64 * BLOCK)) * 64 * BLOCK, np.uint8)
     bits[high + np.arange(n)] = 1
-    bits[-1] = 0
-    zeros, ones = np.flatnonzero(bits == 0)[::STEP].astype("<u8"), np.flatnonzero(bits)[::STEP].astype("<u8")
-    upper = np.packbits(bits, bitorder="little").tobytes() + bytes(8)
+    upper = np.packbits(bits, bitorder="little").tobytes()
+    zeros = (bits.reshape(-1, 64 * BLOCK) == 0).sum(axis=1)
+    zeros = (np.cumsum(zeros) - zeros).astype("<u8")
     lower = b""
     if low:
         packed = []
@@ -55,41 +54,34 @@ def encode(x: np.ndarray, u: int) -> bytes:
             packed.append(np.packbits((part[:, None] >> np.arange(low, dtype=np.uint64)) & _U(1), bitorder="little").tobytes())
         lower = b"".join(packed)
     lower += bytes(8)
-    head = np.array([n, low, len(upper), len(lower), len(zeros), len(ones)], "<u8").tobytes()
-    body = head + zeros.tobytes() + ones.tobytes() + upper + lower
+    head = np.array([n, low, len(upper), len(lower), len(zeros)], "<u8").tobytes()
+    body = head + zeros.tobytes() + upper + lower
     return body + bytes(-len(body) % 8)
 
 
 class Sequence:
     def __init__(self, raw: memoryview):
-        head = np.frombuffer(raw, "<u8", 6).astype(int).tolist()
-        self.n, self.low, upper, lower, zeros, ones = head
-        at = 48
-        self.zeros = np.frombuffer(raw, "<u8", zeros, at)
-        at += 8 * zeros
-        self.ones = np.frombuffer(raw, "<u8", ones, at)
-        at += 8 * ones
-        self.upper = _windows(np.frombuffer(raw, "u1", upper, at))
+        self.n, self.low, upper, lower, blocks = np.frombuffer(raw, "<u8", 5).astype(int).tolist()
+        at = 40
+        self.zeros = np.frombuffer(raw, "<u8", blocks, at).astype(np.int64)
+        self.ones = np.arange(blocks) * 64 * BLOCK - self.zeros
+        at += 8 * blocks
+        self.upper = np.frombuffer(raw, "<u8", upper // 8, at)
         self.lower = _windows(np.frombuffer(raw, "u1", lower, at + upper))
         self.size = at + upper + lower
 
-    def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
-        place = directory[k // STEP].astype(np.int64)
-        left = k % STEP
-        todo = np.flatnonzero(left > 0)
-        place[todo] += 1
-        left = left - 1
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the k-th one (flip: zero), by the number of them before each block."""
+        block = np.searchsorted(before, k, "right") - 1
+        left, at = k - before[block], block * BLOCK
+        place, todo = np.empty(len(k), np.int64), np.arange(len(k))
         while len(todo):
-            p = place[todo]
-            w = self.upper[p >> 3] >> (p & 7).astype(np.uint64)
-            w = (~w if flip else w) & _MASK
+            w = self.upper[at]
+            w = ~w if flip else w
             c = np.bitwise_count(w).astype(np.int64)
-            here = left[todo] < c
-            done = todo[here]
-            place[done] += _select_in_word(w[here], left[done])
-            todo, c = todo[~here], c[~here]
-            left[todo] -= c
-            place[todo] += _WINDOW
+            here = left < c
+            place[todo[here]] = 64 * at[here] + _select_in_word(w[here], left[here])
+            todo, left, at = todo[~here], (left - c)[~here], at[~here] + 1
         return place
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -104,21 +96,23 @@ class Sequence:
         return (high << _U(self.low)) | self._low(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, or -1 where it is no element: to the high part's bucket, then successor by successor."""
+        """The place of each x, or -1 where it is no element: the successor within the high part's bucket, by halving it. A
+        bucket may hold any number of elements, where the sequence is dense."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
         high, want = (x >> _U(self.low)).astype(np.int64), x & _U((1 << self.low) - 1)
+        stop = self._select(high, self.zeros, True) - high
         first = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) - (high - 1), 0)
-        todo = np.arange(len(x))
+        todo = np.flatnonzero(first < stop)
+        a, b, w = first[todo], stop[todo], want[todo]
         while len(todo):
-            i, h = first[todo], high[todo]
-            p = h + i
-            inside = ((self.upper[p >> 3] >> (p & 7).astype(np.uint64)) & _U(1)) == 1
-            todo, i = todo[inside], i[inside]
-            got = self._low(i)
-            hit = got == want[todo]
-            out[todo[hit]] = i[hit]
-            todo = todo[got < want[todo]]
-            first[todo] += 1
+            mid = (a + b) >> 1
+            got = self._low(mid)
+            hit = got == w
+            out[todo[hit]] = mid[hit]
+            less = got < w
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            on = ~hit & (a < b)
+            todo, a, b, w = todo[on], a[on], b[on], w[on]
         return out
