@@ -19,8 +19,11 @@ WORDS = re.compile(f"[^{SPACE}]+")
 #: A place where both kinds may be cut: one space between two characters that aren't white space.
 _SEAM = re.compile(f"(?<=[^{SPACE}])\\x20(?=[^{SPACE}])")
 
+#: Marks that both kinds cut from the letters before them.
+_STOPS = frozenset(".,;:!?")
+
 SLICE = 1 << 20
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 500_000
 MEMO_CHARS = 64
 
 
@@ -33,25 +36,41 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def letters(chunk: str) -> bool:
+    """Letters alone, behind one space at most, and still so in lower case."""
+    body = chunk.removeprefix(" ")
+    return body.isalpha() and body.lower().isalpha()
+
+
 class Memo:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers. At most MEMO_CHUNKS chunks are remembered."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.
+
+    Two generations of MEMO_CHUNKS chunks each are remembered: a full one becomes the old one, from which chunks that come
+    again are taken over, so rare chunks go and common ones stay.
+    """
 
     def __init__(self, chunks: re.Pattern, encode_many: Callable[[list[str]], list[list[int]]]):
-        self.chunks, self.encode_many, self.known = chunks, encode_many, {}
+        self.chunks, self.encode_many, self.known, self.old = chunks, encode_many, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [[self.chunks.findall(s) for s in slices(t)] for t in texts]
-        known = self.known
-        new = list({c for t in parts for s in t for c in s if c not in known})
-        if len(known) + len(new) > MEMO_CHUNKS:
-            known.clear()
-            new = list({c for t in parts for s in t for c in s})
+        new = {c for t in parts for s in t for c in s if c not in self.known}
+        if self.known and len(self.known) + len(new) > MEMO_CHUNKS:
+            self.known, self.old = {}, self.known
+            new = {c for t in parts for s in t for c in s}
+        known, old = self.known, self.old
+        known.update((c, old[c]) for c in new & old.keys())
+        new -= known.keys()
+        tails = {c: (c[:-1], c[-1]) for c in new if len(c) > 1 and c[-1] in _STOPS and letters(c[:-1])}
+        parts_of = {p for pair in tails.values() for p in pair}
+        new = list((new - tails.keys()) | (parts_of - known.keys()))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             known.update(zip(some, (array("I", ids).tobytes() for ids in self.encode_many(some)), strict=True))
+        known.update((c, known[a] + known[b]) for c, (a, b) in tails.items())
         get = known.__getitem__
         out = [b"".join([b"".join(map(get, s)) for s in t]) for t in parts]
-        for c in new:
+        for c in (*new, *tails):
             if len(c) > MEMO_CHARS:
                 del known[c]
         return out
