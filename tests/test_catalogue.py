@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cellmart.plans import catalogue
@@ -19,7 +20,7 @@ def duck():
 
 def norm(df):
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         return f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
 
