@@ -35,7 +35,7 @@ KEEP = 2
 DISCOUNT = 0.75
 SHARD_TOKENS = 8_000_000
 BUCKET_TOKENS = 4_000_000
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 500_000
 FOLDS, HELD_OUT = 7, 2
 _LEVELS = 255
 _FLOOR = 1e-9
@@ -107,8 +107,8 @@ def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
             yield b, _pack(keys[part], counts[part])
 
 
-def _gathered(blocks: DataFrame, keep: int) -> DataFrame:
-    """(key, n) of the keys with keep occurrences or more."""
+def _gathered(blocks: DataFrame, keep: int, firsts: tuple[int, ...], unit: int) -> DataFrame:
+    """(shard, key, n) of the keys with keep occurrences or more; the shard is the range of firsts that key // unit lies in."""
 
     def merge(g: pa.Table) -> pa.Table:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -121,9 +121,11 @@ def _gathered(blocks: DataFrame, keep: int) -> DataFrame:
                 keys, counts = _merged(np.concatenate([keys, *(k for k, _ in wait)]), np.concatenate([counts, *(c for _, c in wait)]))
                 wait, held = [], 0
         kept = counts >= keep
-        return pa.table({"key": keys[kept].view(np.int64), "n": counts[kept]})
+        keys, counts = keys[kept], counts[kept]
+        shard = np.searchsorted(np.array(firsts), (keys // _U(unit)).astype(np.int64), "right") - 1
+        return pa.table({"shard": shard.astype(np.int32), "key": keys.view(np.int64), "n": counts})
 
-    return blocks.groupBy("bucket").applyInArrow(merge, "key long, n long")
+    return blocks.groupBy("bucket").applyInArrow(merge, "shard int, key long, n long")
 
 
 def _quantised(p: np.ndarray) -> np.ndarray:
@@ -412,12 +414,7 @@ def _with_pairs(coded: DataFrame, shape: Shape, keep: int, discount: float) -> S
             out = list(_dealt(before[use].astype(np.uint64) << _U(32) | x[use].astype(np.uint64), buckets))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "block"])
 
-    pairs = _gathered(coded.where("not held_out").select("ids").mapInArrow(count, "bucket int, block binary"), keep)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a = (b.column(0).to_numpy().view(np.uint64) >> _U(32)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((np.searchsorted(np.array(firsts), a, "right") - 1).astype(np.int32)), b.column(0), b.column(1)], names=["shard", "key", "n"])
+    pairs = _gathered(coded.where("not held_out").select("ids").mapInArrow(count, "bucket int, block binary"), keep, firsts, 1 << 32)
 
     def build(key: tuple, g: pa.Table) -> pa.Table:
         s = key[0].as_py()
@@ -434,7 +431,7 @@ def _with_pairs(coded: DataFrame, shape: Shape, keep: int, discount: float) -> S
         save_bytes(f"{shape.at}/pair-counts-{s}", [n.astype("<u8").tobytes()])
         return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "fan": [int(fan.max(initial=0))]})
 
-    rows = pairs.mapInArrow(parts, "shard int, key long, n long").groupBy("shard").applyInArrow(build, "shard int, n long, fan long").collect()  # a row a shard
+    rows = pairs.groupBy("shard").applyInArrow(build, "shard int, n long, fan long").collect()  # a row a shard
     found = {r.shard: r for r in rows}
     for s in range(len(firsts) - 1):
         if s not in found:  # no pair of this shard is kept
@@ -463,12 +460,7 @@ def _with_triples(coded: DataFrame, shape: Shape, keep: int, discount: float) ->
             out = list(_dealt(key.astype(np.uint64), buckets))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "block"])
 
-    triples = _gathered(coded.where("not held_out").select("ids").mapInArrow(count, "bucket int, block binary"), keep)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a = b.column(0).to_numpy() // ranks
-            yield pa.RecordBatch.from_arrays([pa.array((np.searchsorted(np.array(firsts), a, "right") - 1).astype(np.int32)), b.column(0), b.column(1)], names=["shard", "key", "n"])
+    triples = _gathered(coded.where("not held_out").select("ids").mapInArrow(count, "bucket int, block binary"), keep, firsts, ranks)
 
     def build(key: tuple, g: pa.Table) -> pa.Table:
         s = key[0].as_py()
@@ -482,7 +474,7 @@ def _with_triples(coded: DataFrame, shape: Shape, keep: int, discount: float) ->
         save_bytes(f"{shape.at}/triples-{s}", [encode(keys.astype(np.uint64), n_pairs * ranks), _weights(_VALUES[d], a, n_pairs).tobytes(), d.tobytes()])
         return pa.table({"shard": pa.array([s], pa.int32())})
 
-    done = {r.shard for r in triples.mapInArrow(parts, "shard int, key long, n long").groupBy("shard").applyInArrow(build, "shard int").collect()}  # a row a shard
+    done = {r.shard for r in triples.groupBy("shard").applyInArrow(build, "shard int").collect()}  # a row a shard
     for s in range(len(firsts) - 1):
         if s not in done:
             save_bytes(f"{shape.at}/triples-{s}", [encode(np.zeros(0, np.uint64), 1), np.full(firsts[s + 1] - firsts[s], _WEIGHT, "<u2").tobytes()])
