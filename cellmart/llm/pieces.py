@@ -37,7 +37,8 @@ class Vocabulary:
         self.longest = max(map(len, pieces), default=1)
         self.least = min(score.values(), default=0.0) - 10.0  # an unknown character's score in a unigram model
         self.beside: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.begun: dict[str, bool] = {}
+        self.last: dict[str, tuple[str, str] | None] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging makes of a short text: always the best pair, of equals the leftmost."""
@@ -52,23 +53,92 @@ class Vocabulary:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces of the last merge that makes this piece of its own text; None for a character, or if merging never does."""
+        got = self.last.get(piece, 0)
+        if got == 0:
+            parts = list(piece)
+            got = None
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    s = self.ids.get(parts[i] + parts[i + 1])
+                    if s is not None and (best is None or self.score[s] > best):
+                        best, at = self.score[s], i
+                if at < 0:
+                    got = None
+                    break
+                got = (parts[at], parts[at + 1])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.last[piece] = got
+        return got
+
     def stands(self, piece: str) -> bool:
         """Whether merging ever makes this piece of its own text."""
-        if piece not in self.alone:
-            self.alone[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        return self.alone[piece]
+        return len(piece) == 1 or self.halves(piece) is not None
+
+    def beginnings(self) -> dict[str, bool]:
+        """Every beginning of a piece, and whether it stands as a piece itself."""
+        if not self.begun:
+            for p in self.ids:
+                for n in range(1, len(p)):
+                    self.begun.setdefault(p[:n], False)
+                self.begun[p] = self.stands(p)
+        return self.begun
 
     def admits(self, a: str, b: str) -> bool:
-        """Whether merging leaves a and b side by side."""
+        """Whether merging leaves a and b side by side: no merge across the seam comes before the merges that make a and b.
+
+        Those are undone from the last one back; at each step the parts at the seam must not make a better piece than the
+        one undone just before. Of equal scores the left merge comes first.
+        """
         key = (a, b)
         ok = self.beside.get(key)
-        if ok is None:
-            if len(self.beside) > 1_000_000:
-                self.beside.clear()
-            ok = self.beside[key] = self.merged(a + b) == [a, b]
+        if ok is not None:
+            return ok
+        ids, score, least, came_right = self.ids, self.score, -float("inf"), False
+        left, right, ok = a, b, True
+        while True:
+            # What the parts at the seam would make must not come before the merge undone last.
+            both = ids.get(left + right)
+            if both is not None and (score[both] > least or came_right and score[both] == least):
+                ok = False
+                break
+            x = score[ids[left]] if len(left) > 1 else None
+            y = score[ids[right]] if len(right) > 1 else None
+            if x is None and y is None:
+                break
+            if y is None or x is not None and x < y:
+                least, left, came_right = x, self.halves(left)[1], False
+            else:
+                least, right, came_right = y, self.halves(right)[0], True
+        if len(self.beside) > 1_000_000:
+            self.beside.clear()
+        self.beside[key] = ok
         return ok
 
 
+def within_window(v: Vocabulary, text: str) -> list[str]:
+    """What Stream gives for a text no longer than the longest piece, of a model of merges: there the window never closes."""
+    kind, before = v.beginnings(), [""] + [None] * len(text)
+    for i in range(len(text)):
+        a = before[i]
+        if a is None:
+            continue
+        for j in range(i + 1, len(text) + 1):
+            piece = text[i:j]
+            stands = kind.get(piece)
+            if (stands or j - i == 1) and before[j] is None and (not a or v.admits(a, piece)):
+                before[j] = piece
+            if stands is None:
+                break  # nor does any longer piece begin so
+    out, j = [], len(text)
+    while j:
+        out.append(before[j])
+        j -= len(before[j])
+    return out[::-1]
+
+
 class Stream:
     """feed(text) and finish() give pieces as soon as they are certain."""
 
@@ -178,8 +248,11 @@ class Coder:
         for p in parts:
             ids = known.get(p)
             if ids is None:
-                s = Stream(self.v)
-                ids = self._ids(x for run in (s.feed(p), s.finish()) for x in run)
+                if self.v.merges and len(p) <= self.v.longest:
+                    ids = self._ids(within_window(self.v, p))
+                else:
+                    s = Stream(self.v)
+                    ids = self._ids(x for run in (s.feed(p), s.finish()) for x in run)
                 if len(p) <= MEMO_CHARS:
                     if len(known) >= MEMO_PIECES:
                         known.clear()
