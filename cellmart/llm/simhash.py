@@ -8,6 +8,10 @@ Exact copies fold into one fingerprint first. Buckets of up to LIGHT fingerprint
 first links what lies near its most frequent fingerprint, and only the rest is compared, chunk by chunk, each chunk pair
 giving a spanning forest and not its pairs. Nothing is capped: every link between two fingerprints is kept up to
 connectivity.
+
+The pipeline drops near copies by another rule: Jaccard similarity of five-word shingles, NEAR_JACCARD or more. Most such
+pairs lie more than MAX_BITS bits apart, so candidates come from BANDS keys of BAND_ROWS least hashes each (a pair at 0.8
+shares no key with a chance of about 1.3e-7), and every link is verified on the sets.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ LIGHT = 64
 CHUNK = 2048
 WORDS = 4
 SEED = 42
+NEAR_WORDS = 5
+NEAR_JACCARD = 0.8
+BANDS = 40
+BAND_ROWS = 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -160,9 +168,115 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str, words: int) -> np.ndarray:
+    """The XXH64 of the text's distinct word shingles, sorted; a shorter text is one shingle, a wordless one has none."""
+    import xxhash
+
+    w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    flat = b" ".join(w)
+    size = np.fromiter(map(len, w), np.int64, len(w))
+    start = np.cumsum(size + 1) - size - 1
+    k, digest = min(words, len(w)), xxhash.xxh64_intdigest
+    pairs = zip(start[: len(w) - k + 1].tolist(), (start + size)[k - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in pairs), np.uint64, len(w) - k + 1))
+
+
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return tuple(rng.integers(1 << 32, size=(BANDS * BAND_ROWS, 1), dtype=np.uint32) | np.uint32(odd) for odd in (1, 0))
+
+
+def bands(found: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """One key a band, of the BAND_ROWS least mixed hashes; none without shingles."""
+    import xxhash
+
+    if not len(found):
+        return []
+    a, b = mixers
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    h = (found ^ (found >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(h), 1024):
+        x = (h[at : at + 1024] ^ b) * a
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x85EBCA6B)
+        np.minimum(low, x.min(axis=1), out=low)
+    return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low.reshape(BANDS, BAND_ROWS))]
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of shingles as sorted bytes."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b; distinct) whose sets have that Jaccard similarity."""
+    a, b = (sets.select(F.col("node").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            good = [jaccard(x, y) >= least for x, y in zip(r.column("s_a").to_pylist(), r.column("s_b").to_pylist(), strict=True)]
+            yield r.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(work, "a string, b string")
+
+
+def similar(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_JACCARD) -> DataFrame:
+    """One row per row of docs: doc_id, component_id; rows link where their sets of word shingles have that Jaccard similarity.
+
+    Equal sets fold into one node. Nodes that share a band's key are candidates: first each with one node of its bucket, by
+    another order in each band, and then, in buckets that this has not connected, every pair of nodes from different
+    components. Every link is verified on the sets. Null doc_ids are no component's smallest unless it has no other.
+    """
+    rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        mixers = _mixers()
+        for b in rows_of(batches, 1000):
+            found = [shingles(t, words) for t in b.column(1).to_pylist()]
+            raw = [x.tobytes() for x in found]
+            keys = pa.array([bands(x, mixers) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw], pa.string()), keys, pa.array(raw, pa.binary())], names=["doc_id", "node", "keys", "s"])
+
+    rows = written(rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node string, keys array<long>, s binary"), "shingles")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
+    keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
+    buckets = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node", "t")).alias("hub")).where("m > 1")
+    member = written(keyed.join(buckets, ["t", "k"]).select("t", "k", "node", "hub"), "members")
+    sets = rows.join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
+    sets = written(sets, "sets")
+    ordered = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+    edges = written(_verified(member.where("node <> hub").select(*ordered("node", "hub")).distinct(), sets, least), "links")
+    roots = written(components(edges), "roots")
+    member = member.join(roots, "node", "left").select("t", "k", "node", F.coalesce("root", "node").alias("root"))
+    apart = member.groupBy("t", "k").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("t", "k")
+    member = written(member.join(apart, ["t", "k"]), "apart")
+    if not member.isEmpty():
+        other = member.select("t", "k", F.col("node").alias("other"), F.col("root").alias("other_root"))
+        pairs = member.join(other, ["t", "k"]).where("node > other and root <> other_root").select(*ordered("node", "other")).distinct()
+        edges = written(edges.unionByName(_verified(pairs, sets, least)), "links")
+        roots = written(components(edges), "roots")
+    of = written(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "of")
+    of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return written(rows.select("doc_id", "node").join(of, "node").select("doc_id", "component_id"), "similar")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with the row of the smallest doc_id of each component (or, where all are null, none but one), with all its columns."""
-    found = near_duplicates(docs)
+    return _firsts(docs, near_duplicates(docs))
+
+
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """The same for the components of similar(), which is the pipeline's rule."""
+    return _firsts(docs, similar(docs))
+
+
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
     keep = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "kept")
     rows = docs.select(F.col("doc_id").alias("_key"), F.struct("*").alias("_row")).join(keep, F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # only then can a row repeat

@@ -149,3 +149,35 @@ def test_lines(spark):
     got = line_dedup.dedup_lines(frame(spark, texts)).collect()
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, slow_lines(texts)))
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+def slow_shingles(text):
+    w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_drops_pairs_at_jaccard_0_8(spark):
+    rng, texts = random.Random(5), ["", " ", None, "a B c", "A b c", "a b d"]
+    for n in (80, 200, 600):
+        for _ in range(4):
+            base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for changed in (1, n // 60, n // 45, n // 20):
+                w = list(base)
+                for i in rng.sample(range(n), changed):
+                    w[i] = "changed"
+                texts.append(" ".join(w))
+    sets, root = [slow_shingles(t) for t in texts], list(range(len(texts)))
+    bits = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (len(a & b) / len(a | b) if a | b else 1) >= 0.8:
+                bits.append((slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).bit_count())
+                root = [root[j] if r == root[i] else r for r in root]
+    assert max(bits) > simhash.MAX_BITS
+    first = {}
+    for i, r in enumerate(root):
+        first.setdefault(r, i)
+    docs = frame(spark, list(enumerate(texts)))
+    assert {r.doc_id for r in simhash.drop_similar(docs).collect()} == set(first.values())
+    assert simhash.drop_similar(docs.limit(0)).count() == 0
