@@ -181,8 +181,8 @@ class Field:
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Spans that the field adds; they overlap no base span."""
-        if not base:
-            return []  # nothing that a mention could agree with
+        if not base and not _MAY.search(text):
+            return []
         found = nodes(text, base)
         if all(x.kind for x in found):
             return []

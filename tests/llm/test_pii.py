@@ -78,3 +78,11 @@ def test_find_and_mask(spark):
     got = pii.mask(docs, f).collect()
     assert [tuple(r) for r in got][0] == (1, "[EMAIL] é", "en", 9) and got[1].text is None and got[4].text == "[IP]" and got[4].n_chars == 4
     assert pii.find(docs.limit(0), pii.train(docs.limit(0))).count() == 0
+
+
+def test_mentions_without_a_base_span():
+    f = sample_field()
+    f.node[pii.LABELS.index("phone")] += 20
+    base, spans = pii.all_spans("call 0612345678 or 0612345678", f)
+    assert base == [] and spans == [("phone", 5, 15), ("phone", 19, 29)]
+    assert pii.all_spans("no mention, 12 of them", f) == ([], [])
