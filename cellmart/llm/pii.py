@@ -7,8 +7,8 @@ potential; mentions that repeat or resemble each other (the same digits, the sam
 far apart, share a skip potential. Loopy belief propagation gives marginals; a mention whose marginal of some kind reaches
 ADD becomes a span. So a number that is a phone in one place is one in every place of the document.
 
-The potentials are fitted piecewise on the nodes of at most SAMPLE documents, those of the smallest hashed doc_id among
-documents with a digit or an @: base spans have their kind, all other mentions count as none.
+The potentials are fitted piecewise on the nodes of all documents: base spans have their kind, all other mentions count as
+none.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from cellmart.llm.common import rows_of, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-SAMPLE = 512
 ADD = 0.5
 ROUNDS = 20
 NEAR = 40  # neighbours more characters apart share no chain potential
@@ -191,16 +190,20 @@ class Field:
         return [(LABELS[b], x.start, x.end) for x, b, q in zip(found, best, p, strict=True) if not x.kind and b and q[b] >= ADD]
 
 
-def fit(shapes: np.ndarray, kinds: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 300) -> Field:
-    """Piecewise: a multinomial regression for the shapes, smoothed log odds of counted label pairs for the two kinds of edges."""
+def fit(shapes: np.ndarray, kinds: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 300, weights: np.ndarray | None = None) -> Field:
+    """Piecewise: a multinomial regression for the shapes, smoothed log odds of counted label pairs for the two kinds of edges.
+
+    weights has how often each row of shapes and kinds occurs; once, where it is None."""
     k, d = len(LABELS), len(_shape("", "", ""))
     w = np.zeros((k, d))
     if len(kinds):
         y = np.eye(k)[kinds]
+        share = np.ones(len(kinds)) if weights is None else np.asarray(weights, float)
+        share = (share / share.sum())[:, None]
         for _ in range(steps):
             z = shapes @ w.T
             p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-            w += 1.0 * ((y - p).T @ shapes / len(kinds) - 1e-3 * w)
+            w += 1.0 * (((y - p) * share).T @ shapes - 1e-3 * w)
 
     def odds(count: np.ndarray, agree: float) -> np.ndarray:
         joint = count + count.T + 0.5 + agree * np.eye(k)
@@ -211,11 +214,9 @@ def fit(shapes: np.ndarray, kinds: np.ndarray, chain: np.ndarray, skip: np.ndarr
     return Field(w, odds(chain, 0.0), odds(np.diag(np.diag(skip)), 100.0))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fitted on the nodes of at most sample documents; only shapes and counts of label pairs come to the driver."""
-    rows = docs.select(F.col("doc_id").alias("d_id"), text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]"))
-    chosen = rows.select("d_id").where("d_id is not null").orderBy(F.xxhash64("d_id"), "d_id").limit(sample).distinct().select(F.col("d_id").alias("c_id"))
-    rows = rows.join(F.broadcast(chosen), F.col("d_id") == F.col("c_id")).select("text")
+def train(docs: DataFrame) -> Field:
+    """Fitted on the nodes of all documents; only shapes and label pairs with their counts come to the driver."""
+    rows = docs.select(text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]"))
     k, d = len(LABELS), len(_shape("", "", ""))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +235,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
             yield pa.RecordBatch.from_pydict({"what": [x[0] for x in out], "key": pa.array([x[1] for x in out], pa.list_(pa.int64())), "n": pa.array([x[2] for x in out], pa.int64())})
 
     got = rows.mapInArrow(work, "what string, key array<long>, n long").groupBy("what", "key").agg(F.sum("n").alias("n")).orderBy("what", "key").collect()
-    chain, skip, shapes, kinds = np.zeros((k, k)), np.zeros((k, k)), [], []
+    chain, skip, shapes, kinds, weights = np.zeros((k, k)), np.zeros((k, k)), [], [], []
     for what, key, n in got:
         if what == "node":
-            shapes += [key[1:]] * min(n, 1000)
-            kinds += [key[0]] * min(n, 1000)
+            shapes.append(key[1:])
+            kinds.append(key[0])
+            weights.append(n)
         else:
             (chain if what == "chain" else skip)[key[0], key[1]] += n
-    return fit(np.array(shapes, float).reshape(-1, d), np.array(kinds, int), chain, skip)
+    return fit(np.array(shapes, float).reshape(-1, d), np.array(kinds, int), chain, skip, weights=np.array(weights, float))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

@@ -86,3 +86,18 @@ def test_mentions_without_a_base_span():
     base, spans = pii.all_spans("call 0612345678 or 0612345678", f)
     assert base == [] and spans == [("phone", 5, 15), ("phone", 19, 29)]
     assert pii.all_spans("no mention, 12 of them", f) == ([], [])
+
+
+def test_counts_weigh_in_whole(spark):
+    text = ", ".join(f"{i}" for i in range(10_000_000, 10_003_000)) + " a@b.co"
+    docs = spark.createDataFrame([(1, text), (None, "mail x@y.com or 99887766"), (2, "+33 612345678")], "doc_id long, text string")
+    shapes, kinds, chain, skip = [], [], np.zeros((5, 5)), np.zeros((5, 5))
+    for _, t in docs.collect():
+        found = pii.nodes(t, pii.base_spans(t))
+        shapes += [x.shape for x in found]
+        kinds += [x.kind for x in found]
+        for count, pairs in zip((chain, skip), pii.edges(found)):
+            for i, j in pairs:
+                count[found[i].kind, found[j].kind] += 1
+    want, got = pii.fit(np.array(shapes), np.array(kinds), chain, skip), pii.train(docs)
+    assert len(kinds) > 3000 and np.allclose(got.node, want.node) and np.allclose(got.chain, want.chain) and np.allclose(got.skip, want.skip)
