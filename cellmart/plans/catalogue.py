@@ -436,9 +436,12 @@ SELECT s AS subcategory, c AS category, n AS severity, o_orderkey % 2 = 0 AS arr
 
 @query()
 def geocode_job(spark, d):
+    """Every customer is an entry of the index; even ones ask for the house of half their number, odd ones for their own."""
     c = inc.table(spark, d, "customer")
-    rows = c.select(F.concat(F.lit("i"), F.col("c_custkey").cast("string")).alias("source_incident_id"), F.lit(False).alias("has_coordinates"), F.lit(False).alias("geocoded"), F.concat((F.col("c_custkey") % 40).cast("string"), F.lit(" block of n Oak st")).alias("block_address"), F.col("c_mktsegment").alias("city"), F.lit("IL").alias("state"))
-    known = c.where("c_custkey <= 30").select(F.lit("-87.5").alias("LON"), (F.lit(40) + F.col("c_custkey") / 100).cast("string").alias("LAT"), F.col("c_custkey").cast("string").alias("NUMBER"), F.when(F.col("c_custkey") % 2 == 0, "N OAK ST").otherwise("N OKA ST").alias("STREET"), F.col("c_mktsegment").alias("CITY"), F.lit("IL").alias("REGION"), F.lit("").alias("POSTCODE"))
+    k = F.col("c_custkey")
+    asked = F.when(k % 2 == 0, (k / 2).cast("long")).otherwise(k)
+    rows = c.select(F.concat(F.lit("i"), F.col("c_custkey").cast("string")).alias("source_incident_id"), F.lit(False).alias("has_coordinates"), F.lit(False).alias("geocoded"), F.concat(asked.cast("string"), F.lit(" block of n Oak st")).alias("block_address"), F.col("c_mktsegment").alias("city"), F.lit("IL").alias("state"))
+    known = c.select((F.lit(-87.5) + F.floor(k / 4000) / 1000).cast("string").alias("LON"), (F.lit(40) + k % 4000 / 100).cast("string").alias("LAT"), F.col("c_custkey").cast("string").alias("NUMBER"), F.when(F.col("c_custkey") % 2 == 0, "N OAK ST").otherwise("N OKA ST").alias("STREET"), F.col("c_mktsegment").alias("CITY"), F.lit("IL").alias("REGION"), F.lit("").alias("POSTCODE"))
     cache = spark.createDataFrame([("7 N OAK ST, BUILDING, IL", "census", None, None)], "address_key string, provider string, longitude double, latitude double")
     return geocode.geocode(rows, cache, [("local", 2, geocode.local_resolver(geocode.index(known)))])
 

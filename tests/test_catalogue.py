@@ -37,3 +37,19 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_geocode_job_against_every_pair(spark, tmp_path):
+    from cellmart.operators.geocode import osa_within
+
+    cities = ("BUILDING", "BUILDINGS", "MACHINERY")
+    c = pd.DataFrame({"c_custkey": range(1, 91), "c_mktsegment": [cities[i * i % 3 if i != 14 else 0] for i in range(1, 91)]})
+    spark.createDataFrame(c).write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.source_incident_id: (round(r.longitude, 6), round(r.latitude, 6)) for r in catalogue.queries()["geocode_job"](spark, str(tmp_path)).collect()}
+    city, want = dict(zip(c.c_custkey, c.c_mktsegment)), {}
+    for k in city:
+        n = k if k % 2 else k // 2
+        same, near = city[n] == city[k], osa_within(city[n], city[k], 1)
+        if (n, city[k]) != (7, "BUILDING") and (n % 2 == 0 or near):
+            want[f"i{k}"] = (-87.5, round(40 + n / 100, 6))
+    assert got == want and any(int(i[1:]) > 60 for i in got) and "i14" not in got
