@@ -17,7 +17,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(table(spark, sf_dir, "documents"))
+    return language_model.score(table(spark, sf_dir, "documents"), keep=1)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,19 @@ def test_edges(spark):
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(True, 3, 0, 0, 0.0, 0.0)] * 2
     got = language_model.score(spark.createDataFrame([(None, "a b"), (held, "a")], none.schema)).collect()
     assert sorted((r.held_out, r.n_tokens, r.n_known) for r in got) == [(False, 3, 3), (True, 2, 2)]
+
+
+def test_query_keeps_what_occurs_once(spark, monkeypatch):
+    import inspect
+
+    from cellmart.llm import queries
+
+    space = dict(globals())
+    exec(inspect.getsource(slow_scores).replace("c >= 2", "c >= 1"), space)
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(12))) + f" w{i} v{i % 30}") for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: frame)
+    got = {r.doc_id: round(r.score, 6) for r in queries.op2_language_model(spark, "").collect()}
+    want, cut = ({i: round(x[-1], 6) for i, x in f(docs)[0].items()} for f in (space["slow_scores"], slow_scores))
+    assert all(abs(got[i] - want[i]) < 1e-5 for i in want) and any(abs(cut[i] - want[i]) > 1e-3 for i in want)
