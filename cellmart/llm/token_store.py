@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cellmart.llm.common import open_input, rows_of, save_bytes, scratch_dir, text_or_empty
-from cellmart.llm.token_memo import WORDS, memo, public_path
+from cellmart.llm.token_memo import coder, public_path
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 FRAME_BYTES = 1 << 18
+FILE_BYTES = 1 << 27
 LEVEL = 3
 _INDEX, _SEEK, _MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -131,24 +133,35 @@ class Reader:
 def write_tokens(docs: DataFrame, to: str | None = None, tokenizer: str = TOKENIZER, end: int = END) -> list[tuple[str, int, int, int]]:
     """Encodes every text, appends end and writes the files; (path, ids before it, ids, documents) of each, in order.
 
-    docs needs doc_id and text; other columns are ignored. Null texts are empty; null doc_ids come first; rows of one doc_id
-    are ordered by text. Only this list, one entry a file, comes to the driver. An empty table gives an empty list.
+    docs needs doc_id (whole numbers, else ValueError) and text; other columns are ignored. Null texts are empty; null doc_ids
+    come first; rows of one doc_id are ordered by text. A special token's string in a text becomes that token's id, as the
+    library does by itself. Only this list, one entry a file, comes to the driver. An empty table gives an empty list.
     """
     to = to or scratch_dir(docs.sparkSession, "tokens")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise ValueError("the file format holds whole numbers as doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by = F.col("doc_id").asc_nulls_first()
+    # A file's documents are indexed in memory, so files grow in number and not in size.
+    files = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = files < 1 << 24  # Spark takes an unknown size for the largest number
+    rows = rows.repartitionByRange(files, by) if known and files > usual else rows.repartitionByRange(by)
+    rows = rows.sortWithinPartitions(by, "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        coder = memo(tokenizer if "/" in tokenizer else public_path(tokenizer), WORDS)
-        last, count = end.to_bytes(4, "little"), [0, 0]
+        to_ids = coder(tokenizer if "/" in tokenizer else public_path(tokenizer))
+        count = [0, 0]
 
         def tokens() -> Iterator[tuple[int | None, bytes]]:
-            for b in rows_of(batches, 256, 2 << 20):
-                for k, x in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist()), strict=True):
-                    count[0] += len(x) // 4 + 1
-                    count[1] += 1
-                    yield k, x + last
+            for b in rows_of(batches, 10_000, 4 << 20):
+                ids, edge = to_ids.encode(b.column(1), end)
+                count[0] += len(ids)
+                count[1] += b.num_rows
+                raw, edge = memoryview(ids.astype("<u4")).cast("B"), (4 * edge).tolist()
+                for k, x, y in zip(b.column(0).to_pylist(), edge, edge[1:], strict=False):
+                    yield k, bytes(raw[x:y])
 
         at = f"{to}/tokens-{part:06d}.zst"
         save_bytes(at, encode_file(tokens()))

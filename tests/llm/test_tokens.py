@@ -1,14 +1,17 @@
 """Packing, the token store and SentencePiece against their libraries; exact round trips."""
 
+import functools
 import io
 import random
-import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cellmart.llm import packing, pieces, token_memo, token_store
@@ -20,26 +23,51 @@ TEXTS = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(80))) for _ i
 TEXTS += ["", " ", "\n", "  \n x", "x \n", "don't  won't\r\n\r\n'll", "é ́x", "a" * 5000, "ab " * 20_000, "<|endoftext|> <s> </s> <unk> <0x0A>", "İSTANBUL ﬁ ẞ"]
 
 
+MORE = [*TEXTS, None, "x <|endoftext|>", "\n <|endoftext|> \n", "a<|startoftext|>b  <|endoftext|>\n" * 300]
+
+
+@functools.cache
 def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("name,chunks", [("byte_bpe_50k.json", token_memo.GLUED), ("word_bpe_49k.json", token_memo.WORDS)])
-def test_memo_equals_library(name, chunks, monkeypatch):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_memo_equals_library(name, monkeypatch):
     monkeypatch.setattr(token_memo, "MEMO_CHUNKS", 1500)
     whole = library(name)
-    m = token_memo.memo(public_tokenizers.path(name), chunks)
-    for i in range(0, len(TEXTS), 100):
-        for t, ids in zip(TEXTS[i : i + 100], m.encode(TEXTS[i : i + 100])):
-            assert np.frombuffer(ids, "<u4").tolist() == whole(t), t[:80]
+    m = token_memo.coder(public_tokenizers.path(name))
+    for i in range(0, len(MORE), 100):
+        some = MORE[i : i + 100]
+        for size in (1 << 20, 50):
+            monkeypatch.setattr(token_memo, "SLICE", size)
+            ids, at = m.encode(pa.array(some, pa.string()))
+            ends, stop = m.encode(pa.array(some, pa.string()), 7)
+            for k, t in enumerate(some):
+                assert ids[at[k] : at[k + 1]].tolist() == whole(t or ""), t
+                assert ends[stop[k] : stop[k + 1]].tolist() == [*whole(t or ""), 7]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85\xa0\u180e\u2003\u2028\u200b\u3000'a1.é\u0301<|Σ日"), st.characters(exclude_categories=["Cs"]))), max_size=5))
+def test_any_text(texts):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        ids, at = token_memo.coder(public_tokenizers.path(name)).encode(pa.array(texts, pa.string()))
+        whole = library(name)
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [whole(t) for t in texts]
+
+
+def test_special_tokens_are_the_librarys():
+    for name, want in (("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 49407)):
+        ids, _ = token_memo.coder(public_tokenizers.path(name)).encode(pa.array(["a <|endoftext|> b"]))
+        assert want in ids.tolist() and ids.tolist() == library(name)("a <|endoftext|> b")
 
 
 def test_slices():
     for t in TEXTS:
-        assert "".join(token_memo.slices(t, 7)) == t
-    assert len(list(token_memo.slices("ab " * 20_000, 100))) > 100
+        raw = t.encode()
+        assert b"".join(token_memo.slices(raw, 7)) == raw
+    assert len(list(token_memo.slices(b"ab " * 20_000, 100))) > 100
 
 
 def test_pieces_of_a_length():
@@ -78,6 +106,8 @@ def test_store_round_trip(spark, monkeypatch):
     assert all(by[2 * i] == [*whole(t), 2] for i, t in enumerate(TEXTS)) and by[3] == [2]
     some = token_store.read_tokens(spark, files, wanted=[3, 10, 10**9]).collect()
     assert sorted(r.doc_id for r in some) == [3, 3, 10]
+    with pytest.raises(ValueError):
+        token_store.write_tokens(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
     assert token_store.write_tokens(rows(spark).limit(0)) == [] and token_store.read_tokens(spark, []).count() == 0
 
 
