@@ -11,22 +11,20 @@ so the same search gives the merges' own result. Characters without a piece are
 
 from __future__ import annotations
 
-import re
 from array import array
-from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmart.llm.common import rows_of, text_or_empty
-from cellmart.llm.token_memo import public_path
+from cellmart.llm.token_memo import Memo, distinct, flat, public_path, texts_of
 
 MODEL = "piece_bpe_32k.model"
 GAP = "▁"
-MEMO_PIECES = 300_000
-MEMO_CHARS = 64
 
 
 class Vocabulary:
@@ -118,151 +116,154 @@ class Vocabulary:
         return ok
 
 
-def within_window(v: Vocabulary, text: str) -> list[str]:
-    """What Stream gives for a text no longer than the longest piece, of a model of merges: there the window never closes."""
-    kind, before = v.beginnings(), [""] + [None] * len(text)
-    for i in range(len(text)):
-        a = before[i]
-        if a is None:
-            continue
-        for j in range(i + 1, len(text) + 1):
-            piece = text[i:j]
-            stands = kind.get(piece)
-            if (stands or j - i == 1) and before[j] is None and (not a or v.admits(a, piece)):
-                before[j] = piece
-            if stands is None:
-                break  # nor does any longer piece begin so
-    out, j = [], len(text)
-    while j:
-        out.append(before[j])
-        j -= len(before[j])
-    return out[::-1]
-
-
 class Stream:
-    """feed(text) and finish() give pieces as soon as they are certain."""
+    """feed(text) and finish() give pieces as soon as they are certain.
+
+    A place is expanded once the longest piece from it has come in: each piece that begins there makes its end a live place,
+    with a back pointer. Places wait from the last certain boundary on; whenever twice the longest piece waits, the back
+    pointers of all live places are followed to the boundary where they meet, and the pieces before it are committed.
+    """
 
     def __init__(self, v: Vocabulary):
-        self.v, self.recent, self.n = v, "", 0
-        # Of each node: its place, the node before it, the piece between, the score of the way, how many nodes and windows need it.
-        self.root = [0, None, "", 0.0, 1]
-        self.live: deque = deque([self.root])
-
-    def feed(self, text: str) -> Iterator[str]:
-        v, ids = self.v, self.v.ids
-        for c in text:
-            self.recent = (self.recent + c)[-v.longest :]
-            self.n += 1
-            best, why, score = None, "", 0.0
-            for k, node in enumerate(reversed(self.live), 1):
-                piece = self.recent[-k:]
-                known = piece in ids
-                if node is None or not known and k > 1:
-                    continue
-                if v.merges:
-                    if (k == 1 or v.stands(piece)) and (not node[2] or v.admits(node[2], piece)):
-                        best, why = node, piece
-                        break
-                else:
-                    s = node[3] + (v.score[ids[piece]] if known else v.least)
-                    if best is None or s > score:
-                        best, why, score = node, piece, s
-            if best is None:
-                node = None
-            else:
-                node = [self.n, best, why, score, 1]
-                best[4] += 1
-            self.live.append(node)
-            if len(self.live) > v.longest:
-                self._release(self.live.popleft())
-                yield from self._commit()
-
-    def _release(self, node) -> None:
-        while node is not None:
-            node[4] -= 1
-            if node[4]:
-                return
-            node = node[1]
-
-    def _commit(self) -> Iterator[str]:
-        """While the root has left the window and one way only leads on, the way's first piece is certain."""
-        if self.root[4] != 1 or self.live and self.live[0] is not None and self.live[0][0] <= self.root[0]:
-            return
-        path, node = [], next((x for x in self.live if x is not None), None)
-        while node is not None and node is not self.root:
-            path.append(node)
-            node = node[1]
-        while path and self.root[4] == 1 and not any(x is self.root for x in self.live):
-            node = path.pop()
-            yield node[2]
-            node[1] = None
-            self.root = node
-
-    def finish(self) -> Iterator[str]:
-        node, out = self.live[-1], []
-        while node is not None and node is not self.root:
-            out.append(node[2])
-            node = node[1]
-        yield from reversed(out)
+        self.v, self.kind = v, v.beginnings()
+        self.text, self.at = "", 0  # what waits, and how many of its places are expanded
+        # Of each place: the piece that leads to it, and the score of the way. The first one keeps the piece committed last.
+        self.before: list[str | None] = [""]
+        self.score = [0.0]
+
+    def feed(self, text: str) -> list[str]:
+        out, step = [], 2 * self.v.longest
+        for k in range(0, len(text), step):
+            self.text += text[k : k + step]
+            self._expand(len(self.text) - self.v.longest)
+            if self.at >= step:
+                out += self._commit()
+        return out
+
+    def finish(self) -> list[str]:
+        self._expand(len(self.text))
+        return self._back(len(self.text), 0)
+
+    def _expand(self, stop: int) -> None:
+        v, kind, text, before, score = self.v, self.kind, self.text, self.before, self.score
+        n, merges = len(text), v.merges
+        before += [None] * (n + 1 - len(before))
+        if not merges:
+            score += [-float("inf")] * (n + 1 - len(score))
+        for i in range(self.at, stop):
+            a = before[i]
+            if a is None:
+                continue
+            for j in range(i + 1, n + 1):
+                piece = text[i:j]
+                stands = kind.get(piece)
+                if merges:
+                    if (stands or j == i + 1) and before[j] is None and (not a or v.admits(a, piece)):
+                        before[j] = piece
+                elif piece in v.ids or j == i + 1:
+                    s = score[i] + (v.score[v.ids[piece]] if piece in v.ids else v.least)
+                    if s >= score[j]:
+                        before[j], score[j] = piece, s
+                if stands is None:
+                    break  # no longer piece begins so
+        self.at = max(self.at, stop)
+
+    def _back(self, place: int, to: int) -> list[str]:
+        out = []
+        while place > to:
+            out.append(self.before[place])
+            place -= len(self.before[place])
+        return out[::-1]
+
+    def _commit(self) -> list[str]:
+        """The pieces up to the boundary that all live ways share."""
+        live = {j for j in range(self.at, len(self.before)) if self.before[j] is not None}
+        while len(live) > 1:
+            j = max(live)
+            live.remove(j)
+            live.add(j - len(self.before[j]))
+        (meet,) = live
+        out = self._back(meet, 0)
+        if out:
+            self.text, self.at, self.before, self.score = self.text[meet:], self.at - meet, self.before[meet:], self.score[meet:]
+            self.before[0] = out[-1]
+        return out
 
 
 class Coder:
-    """Whole texts to ids and back; short stretches between certain boundaries are remembered."""
+    """Whole texts to ids and back.
+
+    Where no piece holds the two characters at a seam next to each other, every way of the search has a boundary there: the
+    ways converge, whatever comes. Texts are cut at those seams, found for a whole batch at once, and each different stretch
+    between two of them goes through a Stream; its outcome is remembered.
+    """
 
-    def __init__(self, v: Vocabulary, dummy_prefix: bool = True, texts: dict[int, bytes] | None = None):
+    def __init__(self, v: Vocabulary, dummy_prefix: bool = True):
         self.v, self.dummy_prefix = v, dummy_prefix
-        # A piece never crosses from a letter to a gap, nor holds a line's end: then these are boundaries of every way.
-        whole = not any(GAP in p.lstrip(GAP) or "\n" in p for p in v.ids)
-        self.split = re.compile(f"\\n|{GAP}*[^{GAP}\\n]+|{GAP}+" if whole else "(?s:.+)")
-        self.known: dict[str, bytes] = {}
-        self.back = [b""] * (1 + max([*v.score, *(v.byte_ids or []), v.unknown, -1]))
+        self.memo = Memo(lambda stretches: [self._ids(s.replace(" ", GAP)) for s in stretches])
+        # By code of the character, 128 for all beyond ASCII: whether some piece holds the two next to each other.
+        self.joined = np.zeros((129, 129), bool)
+        self.joined[128, 128] = True
+        for p in v.ids:
+            codes = [min(ord(c), 128) for c in p.replace(GAP, " ")]
+            self.joined[codes[:-1], codes[1:]] = True
+        back = [b""] * (1 + max([*v.score, *(v.byte_ids or []), v.unknown, -1]))
         for p, i in v.ids.items():
-            self.back[i] = p.replace(GAP, " ").encode("utf-8", "surrogatepass")
+            back[i] = p.replace(GAP, " ").encode("utf-8", "surrogatepass")
         for b, i in enumerate(v.byte_ids or []):
-            self.back[i] = bytes([b])
-        self.back[v.unknown] = " ⁇ ".encode()
-
-    def _ids(self, pieces: Iterable[str]) -> bytes:
-        out = array("I")
-        for p in pieces:
-            i = self.v.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.v.byte_ids:
-                out.extend(self.v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.v.unknown)
-        return out.tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        parts = self.split.findall((GAP if self.dummy_prefix else "") + text.replace(" ", GAP))
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        out = []
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                if self.v.merges and len(p) <= self.v.longest:
-                    ids = self._ids(within_window(self.v, p))
+            back[i] = bytes([b])
+        back[v.unknown] = " ⁇ ".encode()
+        self.back = pa.array(back, pa.large_binary())
+
+    def _ids(self, stretch: str) -> array:
+        out, v, s = array("I"), self.v, Stream(self.v)
+        ways = [s.feed(stretch[k : k + 4096]) for k in range(0, len(stretch), 4096)]
+        for way in (*ways, s.finish()):
+            for p in way:
+                i = v.ids.get(p)
+                if i is not None:
+                    out.append(i)
+                elif v.byte_ids:
+                    out.extend(v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
                 else:
-                    s = Stream(self.v)
-                    ids = self._ids(x for run in (s.feed(p), s.finish()) for x in run)
-                if len(p) <= MEMO_CHARS:
-                    if len(known) >= MEMO_PIECES:
-                        known.clear()
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.back.__getitem__, array("I", ids)))
-        return raw.decode("utf-8", "replace")[1 if self.dummy_prefix and raw[:1] == b" " else 0 :]
+                    out.append(v.unknown)
+        return out
+
+    def cuts(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where stretches begin in texts that lie one behind the other and begin at starts."""
+        if not len(raw):
+            return np.zeros(0, np.int64)
+        code = np.minimum(raw, 128).astype(np.int32)
+        at = np.ones(len(raw), bool)
+        at[1:] = ~self.joined.ravel()[code[:-1] * 129 + code[1:]]
+        at[starts] = True
+        return np.flatnonzero(at)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, where each text's begin and the last one's end)."""
+        parts, sizes, last = [], np.zeros(len(texts), np.int64), -1
+        for run, rows in texts_of(texts):
+            run = pc.replace_substring(run, GAP, " ")
+            if self.dummy_prefix and rows[0] != last:
+                run = pc.if_else(pc.equal(run, ""), run, pc.binary_join_element_wise("", run, " "))
+            last = rows[-1]
+            raw, bounds = flat(run)
+            begins = self.cuts(raw, bounds[:-1][np.diff(bounds) > 0])
+            ids, before = self.memo.gathered(*distinct(raw, begins))
+            parts.append(ids)
+            np.add.at(sizes, rows, np.diff(before[np.searchsorted(begins, bounds)]))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+    def decode(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """The texts of ids that lie one behind the other; bytes that are no UTF-8 become U+FFFD."""
+        size = np.append(0, np.cumsum(pc.binary_length(self.back).to_numpy()[ids]))
+        raw = self.back.take(pa.array(ids)).buffers()[2]
+        raw = np.frombuffer(raw, np.uint8)[: size[-1]] if raw is not None else np.zeros(0, np.uint8)
+        start, stop = size[edges[:-1]], size[edges[1:]]
+        if self.dummy_prefix and len(raw):
+            start = start + ((stop > start) & (raw[np.minimum(start, len(raw) - 1)] == 32))
+        view = memoryview(raw)
+        return pa.array([str(view[a:b], "utf-8", "replace") for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.string())
 
 
 def load(path: str) -> Coder:
@@ -302,8 +303,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
-        for b in rows_of(batches, 500, 2 << 20):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+        for b in rows_of(batches, 10_000, 4 << 20):
+            ids, edges = c.encode(b.column(1))
+            raw, at = memoryview(ids.astype("<u4")).cast("B"), (4 * edges).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["doc_id", "ids"])
 
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -314,7 +317,10 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
-        for b in rows_of(batches, 500, 2 << 20):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if x is None else c.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "ids", "text"])
+        for b in rows_of(batches, 10_000, 4 << 20):
+            raw = b.column(1).to_pylist()
+            edges = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in raw])]).astype(np.int64)
+            texts = c.decode(np.frombuffer(b"".join(x or b"" for x in raw), "<u4"), edges)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.if_else(b.column(1).is_valid(), texts, pa.scalar(None, pa.string()))], names=["doc_id", "ids", "text"])
 
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")

@@ -127,13 +127,17 @@ def test_file_format():
         token_store.Reader(io.BytesIO(raw[:-1] + b"x"))
 
 
-def test_sentencepiece_equals_library(spark):
+def test_sentencepiece_equals_library(spark, monkeypatch):
     p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     c = pieces.coder("piece_bpe_32k.model")
-    for t in [*TEXTS, "aabab" * 300, " " * 200]:
-        ids = p.encode(t)
-        assert np.frombuffer(c.encode(t), "<u4").tolist() == ids, t[:80]
-        assert c.decode(c.encode(t)) == p.decode(ids)
+    some = [*TEXTS, "aabab" * 300, " " * 200, "日本語のテキスト" * 300, None]
+    for size in (1 << 20, 60):
+        monkeypatch.setattr(token_memo, "SLICE", size)
+        ids, at = c.encode(pa.array(some, pa.string()))
+        back = c.decode(ids, at).to_pylist()
+        for k, t in enumerate(some):
+            assert ids[at[k] : at[k + 1]].tolist() == p.encode(t or ""), t[:80]
+            assert back[k] == p.decode(p.encode(t or ""))
     got = {r.doc_id: (r.ids, r.text) for r in pieces.decode(pieces.encode(rows(spark))).collect()}
     assert all(got[2 * i][1] == t for i, t in enumerate(TEXTS) if "▁" not in t and "\x1c" not in t and t[:1] != " ") and got[3] == (b"", "")
     assert pieces.decode(pieces.encode(rows(spark).limit(0))).count() == 0
@@ -151,20 +155,33 @@ def slow_unigram(v, text):
     return best[-1]
 
 
+def streamed(v, text, step=1):
+    """(pieces, how many came before the end, the most places that waited)."""
+    s, out, most = pieces.Stream(v), [], 0
+    for i in range(0, len(text), step):
+        out += s.feed(text[i : i + step])
+        most = max(most, len(s.before))
+    early = len(out)
+    return out + s.finish(), early, most
+
+
 def test_streaming_commits_early_and_stays_bounded():
     v = pieces.Vocabulary({s: i for i, s in enumerate(["a", "b", "ab", "ba", "aba", "bab", "▁"])}, dict(enumerate([-3.1, -3.3, -4.0, -4.2, -5.0, -5.7, -2.0])), merges=False)
     text = "".join(rng.choice("ab▁x") for _ in range(4000))
-    s, out, most = pieces.Stream(v), [], 0
-    for c in text:
-        out += s.feed(c)
-        nodes = set()
-        for n in s.live:
-            while n is not None and id(n) not in nodes:
-                nodes.add(id(n))
-                n = n[1]
-        most = max(most, len(nodes))
-    early = len(out)
-    out += s.finish()
+    out, early, most = streamed(v, text)
     score = sum(v.score[v.ids[p]] if p in v.ids else v.least for p in out)
     assert "".join(out) == text and abs(score - slow_unigram(v, text)[0]) < 1e-6
     assert most < 60 and early > len(out) - 60
+
+
+def test_one_stream_over_whole_texts_of_the_public_model():
+    """Without any cut: the ids are the library's, they come early, and few places wait."""
+    p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    v = pieces.coder("piece_bpe_32k.model").v
+    long = [" ".join(TEXTS[:300]), "".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "日本語のテキスト" * 2000, "aabab" * 3000, "ab " * 5000]
+    for t in long:
+        for step in (1, 1000):
+            out, early, most = streamed(v, "▁" + t.replace(" ", "▁"), step)
+            ids = [i for x in out for i in ([v.ids[x]] if x in v.ids else [v.byte_ids[b] for b in x.encode()])]
+            assert ids == p.encode(t)
+            assert early > len(out) - 6 * v.longest and most < 8 * v.longest
