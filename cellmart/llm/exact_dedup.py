@@ -83,12 +83,17 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates() drops, with all its columns."""
+    """docs without the rows that exact_duplicates() drops, with all its columns: one row stays of each different text.
+
+    It is the row of the smallest doc_id; where all are null, one of them. Rows of one doc_id with different texts, or of
+    none, are no copies. Of rows that repeat in doc_id and text one stays. Null texts are empty and stay null. An empty table
+    gives an empty result.
+    """
     found = written(exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")), "kept")
     rows = docs.select(F.col("doc_id").alias("_key"), F.unhex(F.sha2(normalised(), 256)).alias("_text"), F.struct("*").alias("_row"))
     rows = rows.join(found, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # only then can a row repeat
-        rows = rows.dropDuplicates(["_key"])
+        rows = rows.dropDuplicates(["_key", "_text"])
     return rows.select("_row.*")
 
 

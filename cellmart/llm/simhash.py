@@ -2,7 +2,8 @@
 
 A fingerprint's 64 bits are cut into BLOCKS blocks. Two fingerprints at MAX_BITS or fewer differing bits share at least
 BLOCKS - MAX_BITS whole blocks, so each choice of that many blocks is a table, and close pairs meet in a bucket of some
-table. With 6 blocks a key has about 21 bits in 15 tables, so buckets of unrelated fingerprints stay small.
+table. With 6 blocks a key has about 21 bits in 15 tables; there are more blocks where there are so many fingerprints that
+buckets of unrelated ones would not stay small (8 blocks: 70 tables of 32 bits).
 
 Exact copies fold into one fingerprint first. Buckets of up to LIGHT fingerprints compare all their pairs; a denser bucket
 first links what lies near its most frequent fingerprint, and only the rest is compared, chunk by chunk, each chunk pair
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellmart.llm.common import rows_of, text_or_empty, written
+from cellmart.llm.common import hash128, rows_of, text_or_empty, written
 
 MAX_BITS = 4
 BLOCKS = 6
@@ -59,15 +60,35 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of each row of docs; a null text has no words."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, text): a row is told from others of its doc_id, or of none, by its text's 128-bit hash. Null texts are empty."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.select("doc_id", *hash128(F.col("text"), 11), "text")
+
+
+def _first() -> Column:
+    """The row that stands for a group: of the smallest doc_id, a null one last; of equal doc_ids the smaller hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2"))
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, h1, h2, fp) of each row of docs; a null text has no words."""
+    rows = _texts(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 1000):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, words) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            fp = pa.array([fingerprint(t, words) for t in b.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], fp], names=["doc_id", "h1", "h2", "fp"])
+
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, fp long")
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+
+def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """How many blocks: the fewest, but BLOCKS, by whose keys n unrelated fingerprints fill buckets of LIGHT / 2 at most."""
+    blocks = max(BLOCKS, max_bits + 1)
+    while blocks < 64 and n > LIGHT / 2 * 2 ** (64 * (blocks - max_bits) / blocks):
+        blocks += 1
+    return blocks
 
 
 def _masks(blocks: int, max_bits: int) -> list[int]:
@@ -152,20 +173,26 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def _near(docs: DataFrame, max_bits: int, blocks: int | None) -> DataFrame:
+    """(doc_id, h1, h2, fp, first): first is the row that stands for the component."""
+    rows = written(fingerprints(docs), "fingerprints")
+    fps = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), _first().alias("least")), "distinct")
+    roots = components(links(fps.select("fp", "n"), max_bits, blocks or blocks_for(fps.count(), max_bits)))
+    of = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    # Written, so that both sides of the join are plain exchanges, which adaptive execution may split where a component is hot.
+    first = written(of.groupBy("root").agg(F.min("least").alias("first")), "firsts")
+    of = written(of.join(first, "root").select("fp", "first"), "components")
+    return rows.join(of, "fp").select("doc_id", "h1", "h2", "fp", "first")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed), component_id (smallest doc_id reachable through links).
 
     docs needs doc_id and text; other columns are ignored. Null and wordless texts have fingerprint 0, which links like any
     other. Null doc_ids are no component's smallest unless it has no other. Repeated rows give repeated rows. An empty table
-    gives an empty result.
+    gives an empty result. blocks: by the number of fingerprints, if not given.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(fps.select("fp", "n"), max_bits, blocks))
-    of = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(of.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    return _near(docs, max_bits, blocks).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -214,71 +241,103 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of pairs (a, b; distinct) whose sets have that Jaccard similarity."""
-    a, b = (sets.select(F.col("node").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
+    a, b = (sets.select(F.col("id").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             good = [jaccard(x, y) >= least for x, y in zip(r.column("s_a").to_pylist(), r.column("s_b").to_pylist(), strict=True)]
             yield r.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(work, "a string, b string")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(work, "a long, b long")
 
 
-def similar(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_JACCARD) -> DataFrame:
-    """One row per row of docs: doc_id, component_id; rows link where their sets of word shingles have that Jaccard similarity.
-
-    Equal sets fold into one node. Nodes that share a band's key are candidates: first each with one node of its bucket, by
-    another order in each band, and then, in buckets that this has not connected, every pair of nodes from different
-    components. Every link is verified on the sets. Null doc_ids are no component's smallest unless it has no other.
-    """
-    rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"))
+def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc_id, h1, h2, first): first is the row that stands for the component."""
+    rows = _texts(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         mixers = _mixers()
         for b in rows_of(batches, 1000):
-            found = [shingles(t, words) for t in b.column(1).to_pylist()]
+            found = [shingles(t, words) for t in b.column(3).to_pylist()]
             raw = [x.tobytes() for x in found]
             keys = pa.array([bands(x, mixers) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw], pa.string()), keys, pa.array(raw, pa.binary())], names=["doc_id", "node", "keys", "s"])
-
-    rows = written(rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node string, keys array<long>, s binary"), "shingles")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
-    buckets = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node", "t")).alias("hub")).where("m > 1")
-    member = written(keyed.join(buckets, ["t", "k"]).select("t", "k", "node", "hub"), "members")
-    sets = rows.join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
-    sets = written(sets, "sets")
-    ordered = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-    edges = written(_verified(member.where("node <> hub").select(*ordered("node", "hub")).distinct(), sets, least), "links")
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), keys, pa.array(raw, pa.binary())], names=["doc_id", "h1", "h2", "node", "keys", "s"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = written(rows.mapInArrow(work, f"doc_id {kind}, h1 long, h2 long, node binary, keys array<long>, s binary"), "shingles")
+    nodes = rows.groupBy("node").agg(_first().alias("least"), F.first("keys").alias("keys"), F.first(F.octet_length("s")).alias("size"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("id", "size", F.explode("keys").alias("k"))
+    buckets = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1"), "buckets")
+    member = written(keyed.join(buckets, "k").select("k", "id", "size", "hub", "m"), "members")
+    some = nodes.join(member.select("id").distinct(), "id", "left_semi").select("node", "id")
+    sets = written(rows.join(some, "node").groupBy("id").agg(F.first("s").alias("s")), "sets")
+    edges = written(_verified(member.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), sets, least), "links")
     roots = written(components(edges), "roots")
-    member = member.join(roots, "node", "left").select("t", "k", "node", F.coalesce("root", "node").alias("root"))
-    apart = member.groupBy("t", "k").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("t", "k")
-    member = written(member.join(apart, ["t", "k"]), "apart")
-    if not member.isEmpty():
-        other = member.select("t", "k", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        pairs = member.join(other, ["t", "k"]).where("node > other and root <> other_root").select(*ordered("node", "other")).distinct()
-        edges = written(edges.unionByName(_verified(pairs, sets, least)), "links")
-        roots = written(components(edges), "roots")
-    of = written(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "of")
-    of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return written(rows.select("doc_id", "node").join(of, "node").select("doc_id", "component_id"), "similar")
+    for key, part in _left(member.join(roots, member["id"] == roots["node"], "left").select("k", "id", "size", "m", F.coalesce("root", "id").alias("root")), nodes):
+        part = written(part, "apart")
+        other = part.select(key, *[F.col(c).alias(f"other_{c}") for c in ("id", "size", "root")])
+        near = F.least("size", "other_size") >= least * F.greatest("size", "other_size")  # else the similarity can't be reached
+        pairs = part.join(other, key).where("id > other_id and root <> other_root").where(near).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+        edges = edges.unionByName(written(_verified(pairs, sets, least), "links"))
+    roots = written(components(edges), "roots")
+    of = written(nodes.join(roots, nodes["id"] == roots["node"], "left").select(nodes["node"], "least", F.coalesce("root", "id").alias("root")), "of")
+    first = written(of.groupBy("root").agg(F.min("least").alias("first")), "firsts")
+    of = of.join(first, "root").select("node", "first")
+    return rows.select("doc_id", "h1", "h2", "node").join(of, "node").select("doc_id", "h1", "h2", "first")
+
+
+def _left(member: DataFrame, nodes: DataFrame) -> Iterator[tuple[str, DataFrame]]:
+    """(key, nodes by bucket) of the buckets that the hubs have not made one component.
+
+    A bucket of more than LIGHT nodes is split by the nodes' other keys: two nodes at NEAR_JACCARD that share one band's key
+    share another's too, but for a chance of about 1.6e-7, and unrelated ones hardly ever do.
+    """
+    apart = lambda df, key: df.join(written(df.groupBy(key).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(key), "apart"), key)
+    member = written(member, "members")
+    light = apart(member.where(F.col("m") <= LIGHT), "k")
+    yield "k", light.select("k", "id", "size", "root")
+    dense = written(apart(member.where(F.col("m") > LIGHT), "k"), "dense")
+    if not dense.isEmpty():
+        by = dense.join(nodes.select("id", F.explode("keys").alias("k2")), "id").where("k <> k2")
+        by = by.select(F.xxhash64(F.least("k", "k2"), F.greatest("k", "k2")).alias("kk"), "id", "size", "root").distinct()
+        yield "kk", apart(written(by, "dense"), "kk").select("kk", "id", "size", "root")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component (or, where all are null, none but one), with all its columns."""
-    return _firsts(docs, near_duplicates(docs))
+def similar(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_JACCARD) -> DataFrame:
+    """One row per row of docs: doc_id, component_id; rows link where their sets of word shingles have that Jaccard similarity.
+
+    Equal sets fold into one node. Nodes that share a band's key are candidates: first each with its bucket's smallest node,
+    and then, in buckets that this has not connected, nodes of different components, where dense buckets are split first.
+    Every link is verified on the sets. docs needs doc_id and text; other columns are ignored. Null texts are empty and link
+    with each other and with wordless ones. Null doc_ids are no component's smallest unless it has no other. Repeated rows give
+    repeated rows. An empty table gives an empty result.
+    """
+    return _similar(docs, words, least).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component of near_duplicates(), with all its columns: that of the smallest doc_id.
+
+    A component whose doc_ids are all null keeps one row as well, and of rows that share a doc_id only those of one component
+    are one another's copies. Of rows that repeat in doc_id and text one stays. An empty table gives an empty result.
+    """
+    return _firsts(docs, _near(docs, max_bits, None))
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
     """The same for the components of similar(), which is the pipeline's rule."""
-    return _firsts(docs, similar(docs))
+    return _firsts(docs, _similar(docs, NEAR_WORDS, NEAR_JACCARD))
 
 
 def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    keep = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    rows = docs.select(F.col("doc_id").alias("_key"), F.struct("*").alias("_row")).join(keep, F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
+    mine = [F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in ("doc_id", "h1", "h2")]
+    keep = written(found.where(mine[0] & mine[1] & mine[2]).select(F.col("doc_id").alias("_id"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2")).distinct(), "kept")
+    h1, h2 = hash128(text_or_empty(), 11)
+    rows = docs.select(F.col("doc_id").alias("_key"), h1.alias("_h1"), h2.alias("_h2"), F.struct("*").alias("_row"))
+    rows = rows.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # only then can a row repeat
-        rows = rows.dropDuplicates(["_key"])
+        rows = rows.dropDuplicates(["_key", "_h1", "_h2"])
     return rows.select("_row.*")

@@ -106,6 +106,48 @@ def test_near_duplicates_edge_rows(spark):
     assert len(simhash.drop_near_duplicates(docs).collect()) == 2
 
 
+def test_rows_of_one_doc_id_and_of_none_are_told_apart_by_text(spark):
+    """Each function keeps one row of each different text, and nothing else, whatever the ids."""
+    words = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue cyan black white grey", "north south east west up down left"]
+    a, b, c, d = words
+    docs = frame(spark, [(7, a), (7, b), (None, c), (None, d), (None, c), (7, a), (3, b), (9, None), (None, "")])
+    want = [(3, b), (7, a), (9, None), (None, c), (None, d)]
+    for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, simhash.drop_similar):
+        assert sorted(((r.doc_id, r.text) for r in drop(docs).collect()), key=str) == sorted(want, key=str), drop
+    marked = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").collect()
+    assert sorted(map(tuple, marked), key=str) == sorted(((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in want), key=str)
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x", 7), (2, "a b c d e f", 6, "y", 8), (2, "other words", 6, "y", 8)], "doc_id long, text string, h1 int, first string, _key int")
+    for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, simhash.drop_similar):
+        assert sorted(map(tuple, drop(docs).collect())) == [(1, "a b c d e f", 5, "x", 7), (2, "other words", 6, "y", 8)]
+
+
+def test_blocks_grow_with_the_corpus():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [6, 6, 7, 8, 9]
+
+
+def test_dense_buckets_of_similar_texts(spark, monkeypatch):
+    """Buckets over LIGHT: chains whose ends are far apart link as all pairs would, and texts with a common passage don't."""
+    monkeypatch.setattr(simhash, "LIGHT", 4)
+    rng, texts = random.Random(9), []
+    passage = [f"p{i}" for i in range(60)]
+    for k in range(12):
+        w = passage + [f"q{k}-{i}" for i in range(40)]
+        for _ in range(6):
+            texts.append(" ".join(w))
+            for i in rng.sample(range(60, 100), 2):
+                w[i] = f"r{rng.randrange(10**6)}"
+    sets, root = [slow_shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: root.index(r) for i, r in enumerate(root)} and 12 <= len(set(root)) < len(texts)
+
+
 def test_exact_duplicates(spark):
     long = "ab " * 3000
     texts = [(5, "a  b"), (3, "a\t\nb"), (4, " a b"), (9, long), (8, long + " "), (10, long.replace(" ", "\n")), (1, None), (2, ""), (7, "x" * 50), (6, "x" * 50), (6, "x" * 50), (None, "a b")]
