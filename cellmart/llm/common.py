@@ -108,10 +108,12 @@ def hash128(value: Column, seed: int = 0) -> list[Column]:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], size: int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of at most size rows and, where they have more than one row, about max_bytes."""
+    """Batches of at most size rows and, where they have more than one row, about max_bytes. At the end the worker, which
+    lives on for other tasks, gives back the memory that Arrow holds unused."""
     for b in batches:
         step = size
         if b.num_rows and b.nbytes > max_bytes:
             step = max(1, min(size, int(b.num_rows * max_bytes / b.nbytes)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    pa.default_memory_pool().release_unused()

@@ -232,48 +232,45 @@ def bands(found: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> list[int]
     return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low.reshape(BANDS, BAND_ROWS))]
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sets of shingles as sorted bytes."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of pairs (a, b; distinct) whose sets have that Jaccard similarity."""
     a, b = (sets.select(F.col("id").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            good = [jaccard(x, y) >= least for x, y in zip(r.column("s_a").to_pylist(), r.column("s_b").to_pylist(), strict=True)]
-            yield r.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(work, "a long, b long")
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("s_a") + F.size("s_b")).alias("sum"))
+    return pairs.where(F.col("both") / (F.col("sum") - F.col("both")) >= least).select("a", "b")
 
 
 def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     """(doc_id, h1, h2, first): first is the row that stands for the component."""
     rows = _texts(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         mixers = _mixers()
         for b in rows_of(batches, 1000):
             found = [shingles(t, words) for t in b.column(3).to_pylist()]
-            raw = [x.tobytes() for x in found]
+            node, size = [xxhash.xxh3_128_digest(x.tobytes()) for x in found], [len(x) for x in found]
             keys = pa.array([bands(x, mixers) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), keys, pa.array(raw, pa.binary())], names=["doc_id", "h1", "h2", "node", "keys", "s"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.binary()), pa.array(size, pa.int64()), keys], names=["doc_id", "h1", "h2", "node", "size", "keys"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = written(rows.mapInArrow(work, f"doc_id {kind}, h1 long, h2 long, node binary, keys array<long>, s binary"), "shingles")
-    nodes = rows.groupBy("node").agg(_first().alias("least"), F.first("keys").alias("keys"), F.first(F.octet_length("s")).alias("size"))
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches, 1000, 1 << 20):
+            found = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
+
+    marked = written(rows.mapInArrow(signed, f"doc_id {kind}, h1 long, h2 long, node binary, size long, keys array<long>"), "signatures")
+    nodes = marked.groupBy("node").agg(_first().alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("id", "size", F.explode("keys").alias("k"))
     buckets = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1"), "buckets")
     member = written(keyed.join(buckets, "k").select("k", "id", "size", "hub", "m"), "members")
-    some = nodes.join(member.select("id").distinct(), "id", "left_semi").select("node", "id")
-    sets = written(rows.join(some, "node").groupBy("id").agg(F.first("s").alias("s")), "sets")
+    # Sets are made of candidates only, from the text of the row that stands for each.
+    some = nodes.join(member.select("id").distinct(), "id", "left_semi").select("id", *[F.col(f"least.{c}").alias(f"l_{c}") for c in ("doc_id", "h1", "h2")])
+    some = written(some, "candidates")
+    text = rows.join(some, F.col("doc_id").eqNullSafe(F.col("l_doc_id")) & (F.col("h1") == F.col("l_h1")) & (F.col("h2") == F.col("l_h2")))
+    sets = written(text.select("id", "text").mapInArrow(listed, "id long, s array<long>").groupBy("id").agg(F.first("s").alias("s")), "sets")
     edges = written(_verified(member.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), sets, least), "links")
     roots = written(components(edges), "roots")
     for key, part in _left(member.join(roots, member["id"] == roots["node"], "left").select("k", "id", "size", "m", F.coalesce("root", "id").alias("root")), nodes):
@@ -286,7 +283,7 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     of = written(nodes.join(roots, nodes["id"] == roots["node"], "left").select(nodes["node"], "least", F.coalesce("root", "id").alias("root")), "of")
     first = written(of.groupBy("root").agg(F.min("least").alias("first")), "firsts")
     of = of.join(first, "root").select("node", "first")
-    return rows.select("doc_id", "h1", "h2", "node").join(of, "node").select("doc_id", "h1", "h2", "first")
+    return marked.select("doc_id", "h1", "h2", "node").join(of, "node").select("doc_id", "h1", "h2", "first")
 
 
 def _left(member: DataFrame, nodes: DataFrame) -> Iterator[tuple[str, DataFrame]]:
