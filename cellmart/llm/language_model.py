@@ -1,26 +1,27 @@
 """Language-model scores from an n-gram trie in Elias-Fano levels.
 
-Training counts words, then pairs, then triples over all training documents; a pair or triple is kept from KEEP occurrences
-on, and a triple can only reach that if both its pairs do, so each order is counted among what the last one left. Word ids
-are ranks of the words' XXH64, whose top bits name the shard. A shard's levels, memory-mapped from the shared folder:
-  1  sorted word hashes; counts; back-off weights; monotone pointers to the words' successors (Elias-Fano)
-  2  successors, as context * V + id (Elias-Fano); quantised discounted probabilities; back-off weights
-  3  successors of pairs, as pair * R + rank, where rank is the last word's place among the successors of the word before
-     it, so the ids are relative to the shorter context (Elias-Fano); quantised discounted probabilities
+Training counts words, then pairs, then triples over all training documents; every n-gram is kept. Words are known by 128-bit
+hashes, whose ranks are the word ids. Levels, memory-mapped from the shared folder:
+  1  sorted word hashes and counts
+  2  pairs, as context * V + id (Elias-Fano), with monotone pointers from each context to its successors (Elias-Fano),
+     quantised discounted probabilities and back-off weights
+  3  triples, as place of the pair * R + rank, where rank is the last word's place among the successors of the word before
+     it, so the ids are relative to the shorter context; the rest as in 2
 A query goes to its context's part of a level and searches the successor there.
 
 The probability is interpolated: p(c|ab) = d(ab,c) + b(ab) * p(c|b), p(c|b) = d(b,c) + b(b) * p(c), p(c) = (n(c) - D) / N, and
 D * V / N for the one class of all unknown words. d is (n - DISCOUNT) / n(context), rounded down to one of 255 levels; b is
 what the rounded d of a context leave of 1, so the probabilities after each context sum to 1.
 
-Between the passes the texts live as ids; pairs and triples meet as sorted, delta-coded blocks, dealt by a hash of the
-whole n-gram, so a frequent first word is no hot key.
+A level is cut into shards, each a range of (context, successor) that holds about SHARD_TOKENS occurrences: many contexts, or,
+where one context alone has more, a range of its successors. So no frequent word makes a large task. Between the passes the
+texts live as ids; the n-grams of a batch travel as one sorted, delta-coded block for each shard, and meet there only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,8 @@ from pyspark.sql import functions as F
 from cellmart.llm.common import mapped, rows_of, save_bytes, scratch_dir, text_or_empty
 from cellmart.llm.elias_fano import Sequence, encode
 
-KEEP = 2
 DISCOUNT = 0.75
-SHARD_TOKENS = 8_000_000
-BUCKET_TOKENS = 4_000_000
+SHARD_TOKENS = 3_000_000
 BATCH_TOKENS = 500_000
 FOLDS, HELD_OUT = 7, 2
 _LEVELS = 255
@@ -60,11 +59,11 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return index, coded.dictionary, count
 
 
-def _hashes(words: list[str]) -> np.ndarray:
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit halves of each word's hash, in rows; the last row is the end's."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w.encode("utf-8", "surrogatepass"), 42) for w in words] + [digest(b"", 42)], np.uint64)
+    return np.frombuffer(b"".join([*map(xxhash.xxh3_128_digest, words), xxhash.xxh3_128_digest(b"")]), ">u8").reshape(-1, 2).astype(np.uint64)
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -94,38 +93,17 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """The keys' counts, in a block for each bucket; the bucket is a hash of the key."""
-    keys, counts = np.unique(keys, return_counts=True)
-    mix = (keys ^ (keys >> _U(31))) * _U(0x9E3779B97F4A7C15)
-    bucket = ((mix >> _U(32)) % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            part = order[edges[b] : edges[b + 1]]
-            yield b, _pack(keys[part], counts[part])
-
-
-def _gathered(blocks: DataFrame, keep: int, firsts: tuple[int, ...], unit: int) -> DataFrame:
-    """(shard, key, n) of the keys with keep occurrences or more; the shard is the range of firsts that key // unit lies in."""
-
-    def merge(g: pa.Table) -> pa.Table:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        wait, held = [], 0
-        for raw in [*g.column("block").to_pylist(), None]:
-            if raw is not None:
-                wait.append(_unpack(raw))
-                held += len(wait[-1][0])
-            if wait and (raw is None or held > 2_000_000):
-                keys, counts = _merged(np.concatenate([keys, *(k for k, _ in wait)]), np.concatenate([counts, *(c for _, c in wait)]))
-                wait, held = [], 0
-        kept = counts >= keep
-        keys, counts = keys[kept], counts[kept]
-        shard = np.searchsorted(np.array(firsts), (keys // _U(unit)).astype(np.int64), "right") - 1
-        return pa.table({"shard": shard.astype(np.int32), "key": keys.view(np.int64), "n": counts})
-
-    return blocks.groupBy("bucket").applyInArrow(merge, "shard int, key long, n long")
+def _sorted_pairs(c: np.ndarray, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, x, first) of the pairs (c, x) in order, repeats too; x is below width, and first marks the first of equal pairs."""
+    if (int(c.max(initial=0)) + 1) * width < 1 << 63:
+        key = np.sort(c * width + x)
+        c, x = np.divmod(key, width)
+    else:
+        order = np.lexsort((x, c))
+        c, x = c[order], x[order]
+    first = np.ones(len(c), bool)
+    first[1:] = (c[1:] != c[:-1]) | (x[1:] != x[:-1])
+    return c, x, np.flatnonzero(first)
 
 
 def _quantised(p: np.ndarray) -> np.ndarray:
@@ -144,24 +122,57 @@ def _weights(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(np.floor(left * _WEIGHT), 1).astype("<u2")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
+class Cuts:
+    """A level's shards: shard s begins at (c[s], x[s]); first[s] n-grams come before it. Only contexts with more occurrences
+    than a shard takes are cut at an x above 0; their back-off weights stand here."""
+
+    name: str
+    c: np.ndarray
+    x: np.ndarray
+    contexts: int
+    width: int  # successors are below it
+    first: np.ndarray | None = None
+    split: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    fan: int = 1  # the most successors of a context
+    large: dict[int, int] = field(default_factory=dict)  # occurrences of the n-grams that are too many for a shard of the next level
+
+    def spans(self, s: int) -> tuple[int, int]:
+        """The first context of a shard and how many it may hold, the next shard's first one among them."""
+        c0 = int(self.c[s])
+        return c0, (int(self.c[s + 1]) if s + 1 < len(self.c) else self.contexts) - c0 + 1
+
+    def shard(self, c: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        """The shard of each (c, x), or of (c, 0)."""
+        s = np.searchsorted(self.c, c, "right") - 1
+        if len(self.split):
+            low = np.searchsorted(self.c, c, "left")
+            several = np.flatnonzero(self.x[s] > 0)
+            if x is None:
+                s[several] = low[several] - (self.x[low[several]] > 0)
+            else:
+                for at in np.unique(low[several]):  # a context that is split
+                    here = several[low[several] == at]
+                    s[here] = at - 1 + np.searchsorted(self.x[at : s[here[0]] + 1], x[here], "right")
+        return s
+
+
+@dataclass(frozen=True, eq=False)
 class Shape:
-    """What a task needs to open the model: where it lies, its shards, and how many words each holds."""
+    """What a task needs to open the model: where it lies, how many words each shard of words holds, and the levels."""
 
     at: str
     shard_bits: int
-    first_id: tuple[int, ...]  # of each shard, and the number of words
+    first_id: np.ndarray  # of each shard of words, and the number of words
     tokens: int
-    docs: int
     ones: int
     twos: int
-    first_pair: tuple[int, ...] = ()
-    ranks: int = 1
-    complete: bool = False  # whether level 3 is written
+    levels: tuple[Cuts, ...] = ()
 
     @property
     def words(self) -> int:
-        return self.first_id[-1]
+        return int(self.first_id[-1])
 
     @property
     def discount(self) -> float:
@@ -169,113 +180,146 @@ class Shape:
         return min(0.99, max(0.01, self.ones / n)) if n else 0.5
 
 
+def _groups(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, where) of an array of shards."""
+    if not len(s):
+        return
+    if s.min() == s.max():
+        yield int(s[0]), np.arange(len(s))
+        return
+    order = np.argsort(s, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], s[order][1:] != s[order][:-1], [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(s[order[a]]), order[a:b]
+
+
+class Level:
+    """The memory-mapped shards of pairs or triples, opened when first asked for."""
+
+    def __init__(self, at: str, cuts: Cuts):
+        self.at, self.cuts, self.open = at, cuts, {}
+
+    def _shard(self, s: int) -> tuple[Sequence, Sequence, np.ndarray, np.ndarray]:
+        if s not in self.open:
+            raw = mapped(f"{self.at}/{self.cuts.name}-{s}")
+            _, contexts = self.cuts.spans(s)
+            pointers = Sequence(raw)
+            at = pointers.size + -pointers.size % 8
+            keys = Sequence(raw[at:])
+            at += keys.size + -keys.size % 8
+            self.open[s] = pointers, keys, np.frombuffer(raw, "<u2", contexts, at), np.frombuffer(raw, "u1", keys.n, at + 2 * contexts)
+        return self.open[s]
+
+    def place(self, c: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The places of the n-grams (c, x), or -1; quickest in order."""
+        out = np.full(len(c), -1, np.int64)
+        for s, here in _groups(self.cuts.shard(c, x)):
+            key = (c[here] - self.cuts.c[s]).astype(np.uint64) * _U(self.cuts.width) + x[here].astype(np.uint64)
+            found = self._shard(s)[1].find(key)
+            out[here] = np.where(found >= 0, found + self.cuts.first[s], -1)
+        return out
+
+    def start(self, c: np.ndarray) -> np.ndarray:
+        """The place of each context's first successor."""
+        out = np.zeros(len(c), np.int64)
+        for s, here in _groups(self.cuts.shard(c)):
+            out[here] = self._shard(s)[0].get(c[here] - self.cuts.c[s]).astype(np.int64) + self.cuts.first[s]
+        return out
+
+    def weight(self, c: np.ndarray) -> np.ndarray:
+        """The back-off weight of each context."""
+        out = np.ones(len(c))
+        for s, here in _groups(self.cuts.shard(c)):
+            out[here] = self._shard(s)[2][c[here] - self.cuts.c[s]] / _WEIGHT
+        if len(self.cuts.split):
+            at = np.minimum(np.searchsorted(self.cuts.split, c), len(self.cuts.split) - 1)
+            out = np.where(self.cuts.split[at] == c, self.cuts.weight[at] / _WEIGHT, out)
+        return out
+
+    def value(self, place: np.ndarray) -> np.ndarray:
+        """The discounted probability of the n-gram at each place."""
+        out = np.zeros(len(place))
+        for s, here in _groups(np.searchsorted(self.cuts.first, place, "right") - 1):
+            out[here] = _VALUES[self._shard(s)[3][place[here] - self.cuts.first[s]]]
+        return out
+
+
 class Model:
     """The memory-mapped levels."""
 
     def __init__(self, shape: Shape):
-        self.shape = shape
-        self.hash, self.count, self.weight = [], [], []
-        self.pointer, self.pairs, self.pair_d, self.pair_weight, self.triples, self.triple_d = [], [], [], [], [], []
-        for s in range(len(shape.first_id) - 1):
-            n = shape.first_id[s + 1] - shape.first_id[s]
-            raw = mapped(f"{shape.at}/words-{s}") if n else b""
-            self.hash.append(np.frombuffer(raw, "<u8", n))
-            self.count.append(np.frombuffer(raw, "<u8", n, 8 * n) if n else np.zeros(0, "<u8"))
-            if not shape.first_pair:
-                continue
-            raw = mapped(f"{shape.at}/pairs-{s}")
-            m = shape.first_pair[s + 1] - shape.first_pair[s]
-            self.pointer.append(Sequence(raw))
-            at = self.pointer[-1].size + -self.pointer[-1].size % 8
-            self.pairs.append(Sequence(raw[at:]))
-            at += self.pairs[-1].size + -self.pairs[-1].size % 8
-            self.weight.append(np.frombuffer(raw, "<u2", n, at))
-            self.pair_d.append(np.frombuffer(raw, "u1", m, at + 2 * n))
-            if not shape.complete:
-                continue
-            raw = mapped(f"{shape.at}/triples-{s}")
-            self.triples.append(Sequence(raw))
-            at = self.triples[-1].size + -self.triples[-1].size % 8
-            self.pair_weight.append(np.frombuffer(raw, "<u2", m, at))
-            self.triple_d.append(np.frombuffer(raw, "u1", self.triples[-1].n, at + 2 * m))
-
-    def _by_shard(self, x: np.ndarray, firsts: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
-        """x split by the shard whose range it lies in; values beyond all ranges go to none."""
-        s = np.searchsorted(np.array(firsts, np.int64), x, "right") - 1
-        if len(firsts) == 2:
-            here = np.flatnonzero((s == 0) & (x < firsts[1]))
-            if len(here):
-                yield 0, here
-            return
-        order = np.argsort(s, kind="stable")
-        edges = np.searchsorted(s[order], np.arange(len(firsts)))
-        for k in range(len(firsts) - 1):
-            if edges[k] < edges[k + 1]:
-                yield k, order[edges[k] : edges[k + 1]]
+        self.shape, self.open = shape, {}
+        self.levels = [Level(shape.at, x) for x in shape.levels]
+        self._end = int(self.ids(_hashes([]))[0])
+
+    @property
+    def end(self) -> int:
+        return self._end
+
+    def _words(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if s not in self.open:
+            n = int(self.shape.first_id[s + 1] - self.shape.first_id[s])
+            raw = mapped(f"{self.shape.at}/words-{s}") if n else b""
+            self.open[s] = tuple(np.frombuffer(raw, "<u8", n, 8 * n * i) if n else np.zeros(0, "<u8") for i in range(3))
+        return self.open[s]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids; the number of words for an unknown one."""
         out = np.full(len(hashes), self.shape.words, np.int64)
-        s = (hashes >> _U(64 - self.shape.shard_bits)).astype(np.int64) if self.shape.shard_bits else np.zeros(len(hashes), np.int64)
-        for k in np.unique(s):
-            here, table = np.flatnonzero(s == k), self.hash[k]
-            if len(table):
-                at = np.minimum(np.searchsorted(table, hashes[here]), len(table) - 1)
-                ok = table[at] == hashes[here]
-                out[here[ok]] = at[ok] + self.shape.first_id[k]
-        return out
-
-    def _look(self, tables: list[np.ndarray], x: np.ndarray, firsts: tuple[int, ...], default: float) -> np.ndarray:
-        out = np.full(len(x), default, np.float64)
-        for k, here in self._by_shard(x, firsts):
-            out[here] = tables[k][x[here] - firsts[k]]
+        one, two = hashes[:, 0], hashes[:, 1]
+        bits = self.shape.shard_bits
+        for s, here in _groups((one >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)):
+            h1, h2, _ = self._words(s)
+            at = np.searchsorted(h1, one[here])
+            while len(here):  # again where the first halves are equal and the second ones aren't
+                ok = at < len(h1)
+                here, at = here[ok], at[ok]
+                ok = h1[at] == one[here]
+                here, at = here[ok], at[ok]
+                hit = h2[at] == two[here]
+                out[here[hit]] = at[hit] + self.shape.first_id[s]
+                here, at = here[~hit], at[~hit] + 1
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        return self._look(self.count, ids, self.shape.first_id, 0)
-
-    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Places of the pairs in level 2, or -1."""
-        out, v = np.full(len(a), -1, np.int64), self.shape.words
-        for k, here in self._by_shard(a, self.shape.first_id):
-            here = here[b[here] < v]
-            x = (a[here] - self.shape.first_id[k]) * v + b[here]
-            found = self.pairs[k].find(x.astype(np.uint64))
-            out[here] = np.where(found >= 0, found + self.shape.first_pair[k], -1)
-        return out
-
-    def rank(self, a: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of pairs that begin with a: the second word's place among a's successors."""
-        out = np.zeros(len(a), np.int64)
-        for k, here in self._by_shard(a, self.shape.first_id):
-            start = self.pointer[k].get(a[here] - self.shape.first_id[k]).astype(np.int64)
-            out[here] = place[here] - self.shape.first_pair[k] - start
-        return out
-
-    def triple(self, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """The discounted probability of a triple, by its first pair's place and its last word's rank; 0 if it isn't kept."""
-        out = np.zeros(len(place))
-        for k, here in self._by_shard(place, self.shape.first_pair):
-            x = (place[here] - self.shape.first_pair[k]) * self.shape.ranks + rank[here]
-            found = self.triples[k].find(x.astype(np.uint64))
-            hit = found >= 0
-            out[here[hit]] = _VALUES[self.triple_d[k][found[hit]]]
+        out = np.zeros(len(ids))
+        known = np.flatnonzero(ids < self.shape.words)
+        for s, here in _groups(np.searchsorted(self.shape.first_id, ids[known], "right") - 1):
+            out[known[here]] = self._words(s)[2][ids[known[here]] - self.shape.first_id[s]]
         return out
 
     def places(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(context, place of the pair of context and token) of each token; before a text's first token stands the end."""
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = self.end
-        key, back = np.unique(before.astype(np.uint64) << _U(32) | ids.astype(np.uint64), return_inverse=True)
-        a, b = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
-        return before, self.pair(a, b)[back]
+        before = self.before(ids, starts)
+        width = self.shape.words + 1
+        if width * width < 1 << 63:
+            key, back = np.unique(before * width + ids, return_inverse=True)
+            a, b = np.divmod(key, width)
+        else:
+            key, back = np.unique(np.stack([before, ids], 1), axis=0, return_inverse=True)
+            a, b = key[:, 0], key[:, 1]
+        found = np.full(len(a), -1, np.int64)
+        known = np.flatnonzero((a < self.shape.words) & (b < self.shape.words))
+        found[known] = self.levels[0].place(a[known], b[known])
+        return before, found[back.ravel()]
+
+    def before(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.empty_like(ids)
+        out[1:] = ids[:-1]
+        out[starts] = self.end
+        return out
 
-    @property
-    def end(self) -> int:
-        if not hasattr(self, "_end"):
-            self._end = int(self.ids(_hashes([]))[0])
-        return self._end
+    def triples(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(context, place of its pair with the token, place of the pair before or -1, rank of the token) of each token."""
+        before, place = self.places(ids, starts)
+        prior = np.full(len(ids), -1, np.int64)
+        prior[1:] = place[:-1]
+        prior[starts] = -1
+        rank = np.full(len(ids), -1, np.int64)
+        both = np.flatnonzero((prior >= 0) & (place >= 0))
+        contexts, back = np.unique(before[both], return_inverse=True)
+        rank[both] = place[both] - self.levels[0].start(contexts)[back]
+        return before, place, prior, rank
 
     def scores(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: log10 of the base's and of the model's probability, and whether it is known."""
@@ -285,46 +329,49 @@ class Model:
         if not size:
             return base, np.zeros(len(ids)), n > 0
         p = np.where(n > 0, n - self.shape.discount, self.shape.discount * words) / size
-        before, place = self.places(ids, starts)
-        p *= self._look(self.weight, before, self.shape.first_id, _WEIGHT) / _WEIGHT
+        before, place, prior, rank = self.triples(ids, starts)
+        known = np.flatnonzero(before < words)
+        contexts, back = np.unique(before[known], return_inverse=True)
+        p[known] *= self.levels[0].weight(contexts)[back]
         hit = np.flatnonzero(place >= 0)
-        p[hit] += _VALUES[self._look(self.pair_d, place[hit], self.shape.first_pair, 0).astype(np.int64)]
-        prior = np.full(len(ids), -1, np.int64)  # the pair before the token
-        prior[1:] = place[:-1]
-        prior[starts] = -1
+        p[hit] += self.levels[0].value(place[hit])
         inner = np.flatnonzero(prior >= 0)
-        p[inner] *= self._look(self.pair_weight, prior[inner], self.shape.first_pair, _WEIGHT) / _WEIGHT
-        both = inner[place[inner] >= 0]
-        p[both] += self.triple(prior[both], self.rank(before[both], place[both]))
+        p[inner] *= self.levels[1].weight(prior[inner])
+        both = np.flatnonzero(rank >= 0)
+        both = both[np.lexsort((rank[both], prior[both]))]
+        found = self.levels[1].place(prior[both], rank[both])
+        p[both[found >= 0]] += self.levels[1].value(found[found >= 0])
         return base, np.log10(p), n > 0
 
 
-_open: dict[Shape, Model] = {}
+_open: dict[tuple[str, int], Model] = {}
 
 
 def opened(shape: Shape) -> Model:
     """The worker's view of a model; the last one opened is kept."""
-    if shape not in _open:
+    key = (shape.at, len(shape.levels))
+    if key not in _open:
         _open.clear()
-        _open[shape] = Model(shape)
-    return _open[shape]
+        _open[key] = Model(shape)
+    return _open[key]
 
 
 def _counted_words(train: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 4000, 4 << 20):
             index, words, _ = _words(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([""], words.type)]), pa.array(np.bincount(index, minlength=len(words) + 1))], names=["word", "n"])
+            h = _hashes(words.cast(pa.binary()).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.bincount(index, minlength=len(words) + 1))], names=["h1", "h2", "n"])
 
-    return train.select("text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(work, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def _id_batches(batches: Iterator[pa.RecordBatch], column: int, size: int = BATCH_TOKENS) -> Iterator[tuple[list[tuple[pa.RecordBatch, int]], np.ndarray, np.ndarray]]:
+def _id_batches(batches: Iterator[pa.RecordBatch], column: int, words: int, size: int = BATCH_TOKENS) -> Iterator[tuple[list[tuple[pa.RecordBatch, int]], np.ndarray, np.ndarray]]:
     """Groups of documents: (rows as (batch, row), ids of all, where each begins). Every document has a token, the end."""
     group, parts, held = [], [], 0
     for b in batches:
         for i in range(b.num_rows):
-            ids = np.frombuffer(b.column(column)[i].as_buffer(), "<u4")
+            ids = np.frombuffer(b.column(column)[i].as_buffer(), "<u4" if words < 1 << 32 else "<u8")
             if held and held + len(ids) > size:
                 yield group, np.concatenate(parts).astype(np.int64), np.cumsum([0, *map(len, parts[:-1])])
                 group, parts, held = [], [], 0
@@ -335,7 +382,19 @@ def _id_batches(batches: Iterator[pa.RecordBatch], column: int, size: int = BATC
         yield group, np.concatenate(parts).astype(np.int64), np.cumsum([0, *map(len, parts[:-1])])
 
 
-def score(docs: DataFrame, keep: int = KEEP, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def _cut(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, parts) where shards begin, by the contexts' occurrences: about most each, a larger context in parts of its own."""
+    if not len(n):
+        return np.zeros(1, np.int64), np.ones(1, np.int64)
+    parts = np.maximum(1, -(-n // most))
+    step = (np.cumsum(n) - n) // most
+    begin = np.ones(len(n), bool)
+    begin[1:] = (step[1:] != step[:-1]) | (parts[1:] > 1) | (parts[:-1] > 1)
+    at = np.flatnonzero(begin)
+    return at, parts[at]
+
+
+def score(docs: DataFrame, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     docs needs doc_id and text; other columns are ignored. A null text is empty: the end alone. The documents with
@@ -346,47 +405,49 @@ def score(docs: DataFrame, keep: int = KEEP, discount: float = DISCOUNT, shard_t
     spark = docs.sparkSession
     at = scratch_dir(spark, "ngrams")
     rows = docs.select(F.col("doc_id").alias("doc_id"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT).alias("held_out"), text_or_empty().alias("text"))
-    counted = _counted_words(rows.where("not held_out")).select(F.xxhash64("word").alias("hash"), "n", (F.col("word") == "").alias("end"))
-    counted.write.parquet(f"{at}/counted")
+    _counted_words(rows.where("not held_out")).write.parquet(f"{at}/counted")
     counted = spark.read.parquet(f"{at}/counted")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words"), F.coalesce(F.sum(F.when(F.col("end"), F.col("n"))), F.lit(0)).alias("docs"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).first()
-    if not counted.groupBy("hash").count().where("count > 1").isEmpty():
-        raise RuntimeError("two words share an XXH64; a corpus of this size needs wider word hashes")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).first()
     bits = max(0, (max(1, -(-total.tokens // shard_tokens)) - 1).bit_length())
-    shards = 1 << bits
-    if total.words >= 1 << 32:
-        raise RuntimeError("word ids of 32 bits do not reach for this vocabulary")
-    shard = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
+    shard = F.shiftrightunsigned("h1", 64 - bits).cast("int") if bits else F.lit(0)
 
     def words(key: tuple, g: pa.Table) -> pa.Table:
-        h, n = g.column("hash").to_numpy().view(np.uint64), g.column("n").to_numpy()
-        order = np.argsort(h)
-        save_bytes(f"{at}/words-{key[0].as_py()}", [h[order].astype("<u8").tobytes(), n[order].astype("<u8").tobytes()])
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(h)]})
+        h1, h2, n = (g.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2", "n"))
+        order = np.lexsort((h2, h1))
+        save_bytes(f"{at}/words-{key[0].as_py()}", [x[order].astype("<u8").tobytes() for x in (h1, h2, n)])
+        where, parts = _cut(n[order].astype(np.int64), shard_tokens)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(h1)], "at": [where.tolist()], "parts": [parts.tolist()]})
 
-    sizes = dict(counted.select(shard.alias("shard"), "hash", "n").groupBy("shard").applyInArrow(words, "shard int, n long").collect())  # a row a shard
-    first = (0, *np.cumsum([sizes.get(s, 0) for s in range(shards)]).tolist())
-    shape = Shape(at, bits, first, total.tokens, total.docs, total.ones, total.twos)
+    found = {r.shard: r for r in counted.select(shard.alias("shard"), "h1", "h2", "n").groupBy("shard").applyInArrow(words, "shard int, n long, at array<long>, parts array<long>").collect()}  # a row a shard
+    first = np.concatenate([[0], np.cumsum([found[s].n if s in found else 0 for s in range(1 << bits)])]).astype(np.int64)
+    shape = Shape(at, bits, first, total.tokens, total.ones, total.twos)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shape)
+        kind = "<u4" if shape.words < 1 << 32 else "<u8"
         for b in rows_of(batches, 4000, 4 << 20):
             index, dictionary, count = _words(b.column(2))
-            flat = m.ids(_hashes(dictionary.to_pylist()))[index].astype("<u4").tobytes()
-            stop = np.cumsum(count) * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([flat[s - 4 * c : s] for s, c in zip(stop.tolist(), count.tolist(), strict=True)], pa.binary())], names=["doc_id", "held_out", "ids"])
+            flat = memoryview(m.ids(_hashes(dictionary.cast(pa.binary()).to_pylist()))[index].astype(kind)).cast("B")
+            stop = (np.cumsum(count) * np.dtype(kind).itemsize).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([flat[x:y] for x, y in zip([0, *stop], stop, strict=False)], pa.binary())], names=["doc_id", "held_out", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows.mapInArrow(ids, f"doc_id {kind}, held_out boolean, ids binary").write.option("compression", "zstd").parquet(f"{at}/ids")
     coded = spark.read.parquet(f"{at}/ids")
     if total.tokens:
-        shape = _with_pairs(coded, shape, keep, discount)
-        shape = _with_triples(coded, shape, keep, discount)
-    tokens = total.tokens
+        cuts = [(int(first[s]) + c, j, k, shape.words) for s, r in sorted(found.items()) for c, k in zip(r.at, r.parts, strict=True) for j in range(k)]
+        shape, more = _with_level(coded, shape, "pairs", cuts, shape.words, shape.words, discount, shard_tokens)
+        # A split pair's successors are the ranks among those of its last word.
+        pairs = opened(shape).levels[0]
+        last = np.array([b for _, k, b in more if k > 1], np.int64)
+        fan = dict(zip(last.tolist(), (pairs.start(last + 1) - pairs.start(last)).tolist(), strict=True)) if len(last) else {}
+        cuts = [(c, j, k, fan.get(b, 1)) for c, k, b in more for j in range(k)]
+        shape, _ = _with_level(coded, shape, "triples", cuts, int(pairs.cuts.first[-1]), pairs.cuts.fan, discount, shard_tokens)
+    tokens, final = total.tokens, shape
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = opened(shape)
-        for group, x, starts in _id_batches(batches, 2):
+        m = opened(final)
+        for group, x, starts in _id_batches(batches, 2, final.words):
             base, full, known = m.scores(x, starts)
             size = np.diff(starts, append=len(x))
             columns = [pa.concat_arrays([b.column(c).slice(i, 1) for b, i in group]) for c in (0, 1)]
@@ -396,86 +457,88 @@ def score(docs: DataFrame, keep: int = KEEP, discount: float = DISCOUNT, shard_t
     return coded.mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _with_pairs(coded: DataFrame, shape: Shape, keep: int, discount: float) -> Shape:
-    """Counts the pairs of the training documents and writes level 2 and level 1's pointers."""
-    buckets, firsts, v = max(1, -(-shape.tokens // BUCKET_TOKENS)), shape.first_id, shape.words
+def _with_level(coded: DataFrame, shape: Shape, name: str, cuts: list[tuple[int, int, int, int]], contexts: int, width: int, discount: float, shard_tokens: int) -> tuple[Shape, list[tuple[int, int, int]]]:
+    """Counts the n-grams of the training documents, writes the level's shards, and says where the next level's may begin.
+
+    cuts: (context, part, parts, successors) in order of contexts: the shard begins at that part of the context's successors.
+    Returned cuts are (place, parts, successor).
+    """
+    c, x = np.array([t[0] for t in cuts], np.int64), np.array([t[1] * t[3] // t[2] for t in cuts], np.int64)
+    new = np.array([t[1] == 0 for t in cuts], bool)
+    new[1:] |= (x[1:] > 0) & (x[1:] != x[:-1])  # a context of few successors has fewer parts
+    c, x = c[new], x[new]
+    if not len(c) or c[0] or x[0]:
+        c, x = np.concatenate([[0], c]), np.concatenate([[0], x])
+    level = Cuts(name, c, x, contexts, width, split=np.unique(c[x > 0]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shape)
-        for _, x, starts in _id_batches(batches, 0):
-            before = np.empty_like(x)
-            before[1:] = x[:-1]
-            before[starts] = m.end
-            often = m.counts(x) >= keep
-            often_before = np.empty_like(often)
-            often_before[1:] = often[:-1]
-            often_before[starts] = True
-            use = often & often_before
-            out = list(_dealt(before[use].astype(np.uint64) << _U(32) | x[use].astype(np.uint64), buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "block"])
-
-    pairs = _gathered(coded.where("not held_out").select("ids").mapInArrow(count, "bucket int, block binary"), keep, firsts, 1 << 32)
+        for _, ids, starts in _id_batches(batches, 0, shape.words):
+            if shape.levels:
+                _, _, prior, rank = m.triples(ids, starts)
+                use = np.flatnonzero(rank >= 0)
+                a, b = prior[use], rank[use]
+            else:
+                a, b = m.before(ids, starts), ids
+            a, b, first = _sorted_pairs(a, b, width)
+            n = np.diff(first, append=len(a))
+            a, b = a[first], b[first]
+            out = []
+            for s, here in _groups(level.shard(a, b)):
+                out.append((s, _pack((a[here] - c[s]).astype(np.uint64) * _U(width) + b[here].astype(np.uint64), n[here])))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["shard", "block"])
 
     def build(key: tuple, g: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        m, n_words = opened(shape), firsts[s + 1] - firsts[s]
-        keys, n = g.column("key").to_numpy().view(np.uint64), g.column("n").to_numpy()
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        a, b = (keys >> _U(32)).astype(np.int64) - firsts[s], (keys & _U(0xFFFFFFFF)).astype(np.int64)
-        d = _quantised((n - discount) / np.asarray(m.count[s])[a])
-        fan = np.bincount(a, minlength=n_words)
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        wait, held = [], 0
+        blocks = g.column("block")
+        for i in range(len(blocks) + 1):
+            if i < len(blocks):
+                wait.append(_unpack(blocks[i].as_buffer()))
+                held += len(wait[-1][0])
+            if wait and (i == len(blocks) or held > 1_000_000):
+                keys, n = _merged(np.concatenate([keys, *(k for k, _ in wait)]), np.concatenate([n, *(k for _, k in wait)]))
+                wait, held = [], 0
+        c0, size = level.spans(s)
+        own, last = np.divmod(keys, _U(width))
+        own, last = own.astype(np.int64), last.astype(np.int64)
+        total = np.bincount(own, weights=n, minlength=size)
+        parts = [i for i in sorted({0, size - 1}) if c0 + i in split]
+        for i in parts:
+            total[i] = split[c0 + i]
+        d = _quantised((n - discount) / total[own])
+        fan = np.bincount(own, minlength=size)
+        sums = np.bincount(own, weights=_VALUES[d], minlength=size)
+        weights = np.maximum(np.floor((1 - sums) * _WEIGHT), 1).astype("<u2")
         pointers = np.concatenate([[0], np.cumsum(fan)]).astype(np.uint64)
-        body = [encode(pointers, len(keys) + 1), encode((a * v + b).astype(np.uint64), n_words * v), _weights(_VALUES[d], a, n_words).tobytes(), d.tobytes()]
-        save_bytes(f"{shape.at}/pairs-{s}", body)
-        save_bytes(f"{shape.at}/pair-counts-{s}", [n.astype("<u8").tobytes()])
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "fan": [int(fan.max(initial=0))]})
-
-    rows = pairs.groupBy("shard").applyInArrow(build, "shard int, n long, fan long").collect()  # a row a shard
-    found = {r.shard: r for r in rows}
-    for s in range(len(firsts) - 1):
-        if s not in found:  # no pair of this shard is kept
-            n_words = firsts[s + 1] - firsts[s]
-            save_bytes(f"{shape.at}/pairs-{s}", [encode(np.zeros(n_words + 1, np.uint64), 1), encode(np.zeros(0, np.uint64), 1), np.full(n_words, _WEIGHT, "<u2").tobytes()])
-            save_bytes(f"{shape.at}/pair-counts-{s}", [b""])
-    first = (0, *np.cumsum([found[s].n if s in found else 0 for s in range(len(firsts) - 1)]).tolist())
-    return Shape(**{**shape.__dict__, "first_pair": first, "ranks": max([1, *(r.fan for r in rows)])})
-
-
-def _with_triples(coded: DataFrame, shape: Shape, keep: int, discount: float) -> Shape:
-    """Counts the triples whose pairs are both kept, and writes level 3 and the back-off weights of pairs."""
-    buckets, firsts, ranks = max(1, -(-shape.tokens // BUCKET_TOKENS)), shape.first_pair, shape.ranks
-    if max(1, firsts[-1]) * ranks >= 1 << 63:
-        raise RuntimeError("keys of 64 bits do not reach for the triples")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        save_bytes(f"{shape.at}/{name}-{s}", [encode(pointers, len(keys) + 1), encode(keys, size * width), weights.tobytes(), d.tobytes()])
+        at, k = _cut(n, shard_tokens)
+        return pa.table({
+            "shard": pa.array([s], pa.int32()), "n": [len(keys)], "fan": [int(fan.max(initial=0))], "split": pa.array([[c0 + i for i in parts]], pa.list_(pa.int64())), "sums": pa.array([[float(sums[i]) for i in parts]], pa.list_(pa.float64())),
+            "fans": pa.array([[int(fan[i]) for i in parts]], pa.list_(pa.int64())), "at": [at.tolist()], "parts": [k.tolist()], "successor": pa.array([last[at].tolist() if len(last) else [0]], pa.list_(pa.int64())),
+            "held": pa.array([n[at].tolist() if len(n) else [0]], pa.list_(pa.int64())),
+        })
+
+    # The occurrences of the few contexts that lie in several shards.
+    split = {}
+    if len(level.split):
         m = opened(shape)
-        for _, x, starts in _id_batches(batches, 0):
-            before, place = m.places(x, starts)
-            prior = np.full(len(x), -1, np.int64)
-            prior[1:] = place[:-1]
-            prior[starts] = -1
-            use = np.flatnonzero((prior >= 0) & (place >= 0))
-            key = prior[use] * ranks + m.rank(before[use], place[use])
-            out = list(_dealt(key.astype(np.uint64), buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "block"])
-
-    triples = _gathered(coded.where("not held_out").select("ids").mapInArrow(count, "bucket int, block binary"), keep, firsts, ranks)
-
-    def build(key: tuple, g: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        n_pairs = firsts[s + 1] - firsts[s]
-        keys, n = g.column("key").to_numpy() - firsts[s] * ranks, g.column("n").to_numpy()
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        a = keys // ranks
-        held = np.frombuffer(mapped(f"{shape.at}/pair-counts-{s}"), "<u8")
-        d = _quantised((n - discount) / held[a])
-        save_bytes(f"{shape.at}/triples-{s}", [encode(keys.astype(np.uint64), n_pairs * ranks), _weights(_VALUES[d], a, n_pairs).tobytes(), d.tobytes()])
-        return pa.table({"shard": pa.array([s], pa.int32())})
-
-    done = {r.shard for r in triples.groupBy("shard").applyInArrow(build, "shard int").collect()}  # a row a shard
-    for s in range(len(firsts) - 1):
-        if s not in done:
-            save_bytes(f"{shape.at}/triples-{s}", [encode(np.zeros(0, np.uint64), 1), np.full(firsts[s + 1] - firsts[s], _WEIGHT, "<u2").tobytes()])
-    return Shape(**{**shape.__dict__, "complete": True})
+        split = dict(zip(level.split.tolist(), (m.counts(level.split) if not shape.levels else [shape.levels[0].large[p] for p in level.split.tolist()]), strict=True))
+    counted = coded.where("not held_out").select("ids").mapInArrow(count, "shard int, block binary")
+    kind = "shard int, n long, fan long, split array<long>, sums array<double>, fans array<long>, at array<long>, parts array<long>, successor array<long>, held array<long>"
+    found = {r.shard: r for r in counted.groupBy("shard").applyInArrow(build, kind).collect()}  # a row a shard
+    first = np.concatenate([[0], np.cumsum([found[s].n if s in found else 0 for s in range(len(c))])]).astype(np.int64)
+    for s in range(len(c)):
+        if s not in found:
+            _, size = level.spans(s)
+            save_bytes(f"{shape.at}/{name}-{s}", [encode(np.zeros(size + 1, np.uint64), 1), encode(np.zeros(0, np.uint64), 1), np.full(size, _WEIGHT, "<u2").tobytes()])
+    sums, fans = dict.fromkeys(split, 0.0), dict.fromkeys(split, 0)
+    for r in found.values():
+        for i, v, f in zip(r.split, r.sums, r.fans, strict=True):
+            sums[i] += v
+            fans[i] += f
+    weight = np.array([max(1, int((1 - sums[i]) * _WEIGHT)) for i in level.split.tolist()], np.int64)
+    cuts = [(int(first[s]) + i, k, b, n) for s, r in sorted(found.items()) if r.n for i, k, b, n in zip(r.at, r.parts, r.successor, r.held, strict=True)]
+    level = replace(level, first=first, weight=weight, fan=max([1, *(r.fan for r in found.values()), *fans.values()]), large={p: n for p, k, _, n in cuts if k > 1})
+    return replace(shape, levels=(*shape.levels, level)), [t[:3] for t in cuts]

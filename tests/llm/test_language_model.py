@@ -46,7 +46,7 @@ def slow_scores(docs):
     n, v = sum(uni.values()), len(uni)
     n1, n2 = (sum(c == k for c in uni.values()) for k in (1, 2))
     d1 = min(0.99, max(0.01, n1 / (n1 + 2 * n2)))
-    keep2, keep3 = {k: c for k, c in big.items() if c >= 2}, {k: c for k, c in tri.items() if c >= 2}
+    keep2, keep3 = big, tri  # every n-gram, however rare
     q = lambda p: float(language_model._VALUES[language_model._quantised(np.array([p]))[0]])
     left2, left3 = Counter(), Counter()
     for (a, b), c in keep2.items():
@@ -76,9 +76,10 @@ def slow_scores(docs):
     return out, mass
 
 
-@pytest.mark.parametrize("shard_tokens", [10**9, 300])
+@pytest.mark.parametrize("shard_tokens", [10**9, 300, 7])
 def test_scores(spark, monkeypatch, shard_tokens):
-    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 500)
+    """Also with shards so small that frequent words and pairs are split by their successors."""
+    monkeypatch.setattr(language_model, "BATCH_TOKENS", 5000)
     rng = random.Random(4)
     common = [" ".join(rng.choice("aa Bb cc dd ee".split()) for _ in range(30)) for _ in range(5)]
     docs = [(i, "\n".join([*(rng.choice(common) for _ in range(rng.randrange(3))), *(f"w{int(rng.expovariate(0.02))}" for _ in range(20))])) for i in range(80)]
@@ -102,17 +103,30 @@ def test_edges(spark):
     assert sorted((r.held_out, r.n_tokens, r.n_known) for r in got) == [(False, 3, 3), (True, 2, 2)]
 
 
-def test_query_keeps_what_occurs_once(spark, monkeypatch):
-    import inspect
-
+def test_query(spark, monkeypatch):
     from cellmart.llm import queries
 
-    space = dict(globals())
-    exec(inspect.getsource(slow_scores).replace("c >= 2", "c >= 1"), space)
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(12))) + f" w{i} v{i % 30}") for i in range(60)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     monkeypatch.setattr(queries, "table", lambda *_: frame)
-    got = {r.doc_id: round(r.score, 6) for r in queries.op2_language_model(spark, "").collect()}
-    want, cut = ({i: round(x[-1], 6) for i, x in f(docs)[0].items()} for f in (space["slow_scores"], slow_scores))
-    assert all(abs(got[i] - want[i]) < 1e-5 for i in want) and any(abs(cut[i] - want[i]) > 1e-3 for i in want)
+    got = {r.doc_id: r.score for r in queries.op2_language_model(spark, "").collect()}
+    want = {i: x[-1] for i, x in slow_scores(docs)[0].items()}
+    assert all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
+def test_equal_first_halves_of_word_hashes(tmp_path):
+    """Words are told apart by all 128 bits."""
+    h = np.array([[5, 1], [5, 2], [5, 9], [7, 0]], np.uint64)
+    (tmp_path / "words-0").write_bytes(b"".join(c.astype("<u8").tobytes() for c in (h[:, 0], h[:, 1], np.array([3, 4, 5, 6], np.uint64))))
+    m = language_model.Model(language_model.Shape(str(tmp_path), 0, np.array([0, 4]), 18, 0, 0))
+    assert m.ids(np.concatenate([h[::-1], np.array([[5, 3], [6, 1], [9, 9]], np.uint64)])).tolist() == [3, 2, 1, 0, 4, 4, 4]
+    assert m.counts(np.array([0, 3, 4])).tolist() == [3, 6, 0]
+
+
+def test_cuts():
+    at, parts = language_model._cut(np.array([1, 1, 50, 2, 3, 9, 9]), 10)
+    assert dict(zip(at.tolist(), parts.tolist()))[2] == 5 and at[0] == 0 and {2, 3} <= set(at.tolist())
+    c = language_model.Cuts("x", np.array([0, 2, 2, 2, 3]), np.array([0, 0, 4, 8, 0]), 9, 12, split=np.array([2]))
+    assert c.shard(np.array([0, 1, 2, 2, 2, 2, 3, 8]), np.array([5, 11, 0, 4, 7, 11, 0, 3])).tolist() == [0, 0, 1, 2, 2, 3, 4, 4]
+    assert c.shard(np.array([0, 2, 3])).tolist() == [0, 1, 4]
