@@ -47,6 +47,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder below the shared one that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_path(uri: str) -> str | None:
     """The path that open() takes, or None where the folder is in a store that needs a client."""
     parts = urlparse(uri)

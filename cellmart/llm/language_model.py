@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmart.llm.common import mapped, rows_of, save_bytes, scratch_dir, text_or_empty
+from cellmart.llm.common import mapped, remove, rows_of, save_bytes, scratch_dir, text_or_empty
 from cellmart.llm.elias_fano import Sequence, encode
 
 DISCOUNT = 0.75
@@ -419,6 +419,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, shard_tokens: int = SHARD
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(h1)], "at": [where.tolist()], "parts": [parts.tolist()]})
 
     found = {r.shard: r for r in counted.select(shard.alias("shard"), "h1", "h2", "n").groupBy("shard").applyInArrow(words, "shard int, n long, at array<long>, parts array<long>").collect()}  # a row a shard
+    remove(spark, f"{at}/counted")
     first = np.concatenate([[0], np.cumsum([found[s].n if s in found else 0 for s in range(1 << bits)])]).astype(np.int64)
     shape = Shape(at, bits, first, total.tokens, total.ones, total.twos)
 
