@@ -180,17 +180,18 @@ class Shape:
         return min(0.99, max(0.01, self.ones / n)) if n else 0.5
 
 
-def _groups(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _groups(s: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
     """(shard, where) of an array of shards."""
     if not len(s):
         return
-    if s.min() == s.max():
-        yield int(s[0]), np.arange(len(s))
-        return
-    order = np.argsort(s, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], s[order][1:] != s[order][:-1], [True]]))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(s[order[a]]), order[a:b]
+    step = np.diff(s)
+    order = None
+    if (step < 0).any():
+        order = np.argsort(s.astype(np.int16) if s.max() < 1 << 15 else s, kind="stable")
+        step = np.diff(s[order])
+    edges = [0, *(np.flatnonzero(step) + 1).tolist(), len(s)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield int(s[a] if order is None else s[order[a]]), slice(a, b) if order is None else order[a:b]
 
 
 class Level:
@@ -270,6 +271,7 @@ class Model:
         bits = self.shape.shard_bits
         for s, here in _groups((one >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)):
             h1, h2, _ = self._words(s)
+            here = np.arange(len(one))[here]
             at = np.searchsorted(h1, one[here])
             while len(here):  # again where the first halves are equal and the second ones aren't
                 ok = at < len(h1)
@@ -338,7 +340,8 @@ class Model:
         inner = np.flatnonzero(prior >= 0)
         p[inner] *= self.levels[1].weight(prior[inner])
         both = np.flatnonzero(rank >= 0)
-        both = both[np.lexsort((rank[both], prior[both]))]
+        width = self.levels[1].cuts.width
+        both = both[np.argsort(prior[both] * width + rank[both]) if self.levels[1].cuts.contexts * width < 1 << 63 else np.lexsort((rank[both], prior[both]))]
         found = self.levels[1].place(prior[both], rank[both])
         p[both[found >= 0]] += self.levels[1].value(found[found >= 0])
         return base, np.log10(p), n > 0

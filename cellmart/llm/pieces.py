@@ -110,7 +110,7 @@ class Vocabulary:
                 least, left, came_right = x, self.halves(left)[1], False
             else:
                 least, right, came_right = y, self.halves(right)[0], True
-        if len(self.beside) > 1_000_000:
+        if len(self.beside) > 300_000:
             self.beside.clear()
         self.beside[key] = ok
         return ok
