@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from cellmart.llm.nearest import Index, nearest
+from cellmart.llm import nearest as module
+from cellmart.llm.nearest import Hasher, nearest
 from tests.conftest import SF
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
@@ -63,5 +64,42 @@ def test_copies_ties_and_odd_vectors(spark):
 
 def test_probes_come_in_order_of_wall_distance():
     x = np.random.default_rng(1).normal(size=(400, 8))
-    few, many = Index(x, probes=3).candidates(x[:50]), Index(x, probes=60).candidates(x[:50])
-    assert (few <= many).all() and few.sum() < many.sum() and few[np.arange(50), np.arange(50)].mean() > 0.3
+    h = Hasher(8, {0: float(np.sqrt((x * x).sum(axis=1)).max())}, probes=60)
+    own = h.buckets(x / np.sqrt((x * x).sum(axis=1, keepdims=True)) * h.scale[0] * 0.999999999, np.zeros(400, int))
+    for t, found in enumerate(h.probed(x[:50])):
+        assert (found[:, 0] == own[:50, t]).mean() > 0.9  # its own bucket costs nothing
+        few = next(f for i, f in enumerate(Hasher(8, h.scale, probes=3).probed(x[:50])) if i == t)
+        assert (few == found[:, :3]).all()
+
+
+def test_large_buckets_and_many_queries_are_split(spark):
+    """A bucket with most of the rows, probed by all queries, in parts and blocks: the same as in one."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([1 + 0.01 * rng.normal(size=(300, 6)), rng.normal(size=(100, 6))]).astype(np.float32)
+    t = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA)
+    one, many = (sorted(map(tuple, nearest(t, t.where("vec_id % 5 = 0"), shard_rows=s, block_rows=b).collect())) for s, b in ((10**6, 10**6), (16, 8)))
+    assert one == many
+
+
+def test_work_is_what_the_probes_visit(spark, monkeypatch):
+    """On clustered vectors recall holds while a small share of the rows is visited; no query falls back to all rows."""
+    rng = np.random.default_rng(3)
+    seen = []
+    for n in (1000, 4000):
+        centres = rng.normal(size=(n // 50, 12)) * 4
+        x = (np.repeat(centres, 50, axis=0) + 0.3 * rng.normal(size=(n, 12))).astype(np.float32)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        t = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA)
+        monkeypatch.setattr(module, "everything", None)
+        got = nearest(t, t.where("vec_id % 40 = 0")).toPandas()
+        ids = list(range(n))
+        y = x.astype(np.float64)
+        hits = sum(len(set(g.vec_id) & {i for i, _ in brute(ids, y, q)}) for q, g in got.groupby("query_id"))
+        assert hits / (20 * n / 40) >= 0.9
+        norm = np.sqrt((y * y).sum(axis=1))
+        band = np.floor(2 * np.log2(norm)).astype(int)
+        h = Hasher(12, {b: norm[band == b].max() for b in set(band)})
+        own, probed = h.buckets(y, band), list(h.probed(y[::40]))
+        visits = np.mean([[len(set(np.flatnonzero(np.isin(own[:, t], p[i])))) for i in range(n // 40)] for t, p in enumerate(probed)])
+        seen.append(visits / n)
+    assert max(seen) < 0.25, seen
