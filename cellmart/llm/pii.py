@@ -7,8 +7,9 @@ potential; mentions that repeat or resemble each other (the same digits, the sam
 far apart, share a skip potential. Loopy belief propagation gives marginals; a mention whose marginal of some kind reaches
 ADD becomes a span. So a number that is a phone in one place is one in every place of the document.
 
-The potentials are fitted piecewise on the nodes of all documents: base spans have their kind, all other mentions count as
-none.
+The potentials are fitted piecewise on the nodes of all documents whose labels are known: base spans have their kind, and
+mentions that resemble no base span, nor anything that does, are none. What a mention is that resembles a base span is what
+the field is there to find, so it has no label in the fit. Both kinds of edges are learned from pairs of known labels.
 """
 
 from __future__ import annotations
@@ -141,6 +142,30 @@ def edges(found: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int
     return chain, sorted(skip)
 
 
+def known(found: list[Node], skip: list[tuple[int, int]]) -> list[bool]:
+    """Whether each node's label is known: it is a base span, or no chain of skip edges leads from it to one."""
+    root = list(range(len(found)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in skip:
+        root[top(i)] = top(j)
+    based = {top(i) for i, x in enumerate(found) if x.kind}
+    return [bool(x.kind) or top(i) not in based for i, x in enumerate(found)]
+
+
+def counted(found: list[Node]) -> tuple[list[Node], list[tuple[int, int]], list[tuple[int, int]]]:
+    """The nodes of known labels, and the pairs of labels at both kinds of edges between them."""
+    chain, skip = edges(found)
+    sure = known(found, skip)
+    pairs = ([(found[i].kind, found[j].kind) for i, j in some if sure[i] and sure[j]] for some in (chain, skip))
+    return [x for x, ok in zip(found, sure, strict=True) if ok], *pairs
+
+
 @dataclass
 class Field:
     """Log potentials: of a shape (labels x shape), of neighbours and of resembling mentions (labels x labels)."""
@@ -205,13 +230,12 @@ def fit(shapes: np.ndarray, kinds: np.ndarray, chain: np.ndarray, skip: np.ndarr
             p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
             w += 1.0 * (((y - p) * share).T @ shapes - 1e-3 * w)
 
-    def odds(count: np.ndarray, agree: float) -> np.ndarray:
-        joint = count + count.T + 0.5 + agree * np.eye(k)
+    def odds(count: np.ndarray) -> np.ndarray:
+        joint = count + count.T + 1 / k**2  # one pair, spread over all cells
         joint /= joint.sum()
         return np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
 
-    # Resembling mentions agree unless the sample says otherwise: a prior of a hundred agreeing pairs of each kind.
-    return Field(w, odds(chain, 0.0), odds(np.diag(np.diag(skip)), 100.0))
+    return Field(w, odds(chain), odds(skip))
 
 
 def train(docs: DataFrame) -> Field:
@@ -224,12 +248,12 @@ def train(docs: DataFrame) -> Field:
             seen: dict[tuple, int] = defaultdict(int)
             chain, skip = np.zeros((k, k)), np.zeros((k, k))
             for t in b.column(0).to_pylist():
-                found = nodes(t, base_spans(t))
+                found, *pairs = counted(nodes(t, base_spans(t)))
                 for x in found:
                     seen[(x.kind, tuple(x.shape.astype(int).tolist()))] += 1
-                for count, pairs in zip((chain, skip), edges(found), strict=True):
-                    for i, j in pairs:
-                        count[found[i].kind, found[j].kind] += 1
+                for count, some in zip((chain, skip), pairs, strict=True):
+                    for i, j in some:
+                        count[i, j] += 1
             out = [("node", [key[0], *key[1]], n) for key, n in seen.items()]
             out += [(name, [i, j], int(m[i, j])) for name, m in (("chain", chain), ("skip", skip)) for i in range(k) for j in range(k) if m[i, j]]
             yield pa.RecordBatch.from_pydict({"what": [x[0] for x in out], "key": pa.array([x[1] for x in out], pa.list_(pa.int64())), "n": pa.array([x[2] for x in out], pa.int64())})
@@ -284,7 +308,10 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def mask(docs: DataFrame, field: Field) -> DataFrame:
-    """docs with every span of its texts masked; n_chars, where there is one, follows. Null texts stay null."""
+    """docs with every span of its texts masked; n_chars, where there is one, follows. Null texts stay null, empty ones empty.
+
+    Each row of docs gives one row, repeated rows too, whatever its doc_id. An empty table gives an empty result.
+    """
     names = [c.lower() for c in docs.columns]
     place = names.index("text")
     size = names.index("n_chars") if "n_chars" in names else None

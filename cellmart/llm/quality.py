@@ -49,7 +49,7 @@ def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     raw = text.encode("utf-8", "replace")
     tokens = raw.split()
     for s, n in Counter(raw.translate(_CLASS).split()).items():
-        shapes[_RUN.sub(rb"\1", s[:64])] += n
+        shapes[_RUN.sub(rb"\1", s)] += n
     total = len(tokens)
     if again := sum(map(operator.eq, tokens, tokens[1:])):
         shapes[b"\0again"] = again
@@ -172,7 +172,11 @@ def kept(tail):
 
 
 def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rejected rows, with all its columns. The text is classified where it lies: no join, no shuffle."""
+    """docs without the rejected rows, with all its columns. The text is classified where it lies: no join, no shuffle.
+
+    A null text is an empty one. Equal texts have one fate, whatever their doc_ids; without ratings all rows stay. An empty
+    table gives an empty result.
+    """
     at = scratch_dir(docs.sparkSession, "quality") + "/weights"
     save_bytes(at, [model.weights.astype("<f4").tobytes()])
     thresholds = model.thresholds
