@@ -95,13 +95,20 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-_NOTHING = {"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+_FOUND = "q long, found array<struct<score: double, c: long>>"
+
+
+def _lists(q: np.ndarray, c: np.ndarray, score: np.ndarray) -> pa.Table:
+    """A row for each query, whose rows lie together, as _FOUND."""
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    pairs = pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(c, pa.int64())], ["score", "c"])
+    return pa.table({"q": pa.array(q[first], pa.int64()), "found": pa.ListArray.from_arrays(pa.array(np.append(first, len(q)), pa.int32()), pairs)})
 
 
 def _ranked(a: pa.Table, b: pa.Table, need: int) -> pa.Table:
     """The best of b's vectors (c, v, and bucket if there is one) for each of a's queries (q, v, buckets)."""
     if not a.num_rows or not b.num_rows:
-        return pa.table(_NOTHING)
+        return _lists(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     ids, c, q, x = a["q"].to_numpy(), b["c"].to_numpy(), _vectors(a["v"]), _vectors(b["v"])
     out = []
     if "buckets" in a.column_names:
@@ -120,11 +127,11 @@ def _ranked(a: pa.Table, b: pa.Table, need: int) -> pa.Table:
         row, found, score = best(q[i : i + 128], x, c, seen, need)
         out.append((ids[i + row], found, score))
     q, c, score = (np.concatenate(z) for z in zip(*out, strict=True))
-    return pa.table({"q": q, "c": c, "score": score})
+    return _lists(q, c, score)
 
 
 def candidates(rows: DataFrame, asks: DataFrame, hasher: Hasher, need: int, shard_rows: int, block_rows: int) -> DataFrame:
-    """(q, c, score): the best need candidates of each query and group of buckets. rows: c, v, band; asks: q, v."""
+    """(q, found): the best need candidates of each query and group of buckets. rows: c, v, band; asks: q, v."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 5000):
@@ -152,17 +159,17 @@ def candidates(rows: DataFrame, asks: DataFrame, hasher: Hasher, need: int, shar
     left = probes.join(blocks, ["t", "g"]).select("t", "g", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("b"), "q", "buckets").join(asks, "q")
     right = placed.join(blocks, ["t", "g"]).select("t", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "c", "bucket").join(rows.select("c", "v"), "c")
     key = ["t", "g", "b"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _ranked(a, b, need), "q long, c long, score double")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _ranked(a, b, need), _FOUND)
 
 
 def everything(rows: DataFrame, asks: DataFrame, need: int, shard_rows: int, block_rows: int, counts: tuple[int, int]) -> DataFrame:
-    """(q, c, score) of a stated set of queries against all rows, in blocks."""
+    """(q, found) of a stated set of queries against all rows, in blocks."""
     shards, blocks = (max(1, -(-n // size)) for n, size in zip(counts, (shard_rows, block_rows), strict=True))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asks.select(deal("q", blocks).alias("b"), every(shards).alias("s"), "q", "v")
     right = rows.select(every(blocks).alias("b"), deal("c", shards).alias("s"), "c", "v")
-    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(lambda a, b: _ranked(a, b, need), "q long, c long, score double")
+    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(lambda a, b: _ranked(a, b, need), _FOUND)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, probes: int = PROBES) -> DataFrame:
@@ -187,14 +194,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, shard_rows: i
     asked = asked.where(F.size("v") == dim)
     asks = written(asked.groupBy("v").agg(F.min("id").alias("q")), "queries")
     scale = {r.band: r.most for r in rows.groupBy("band").agg(F.max("norm").alias("most")).collect()}  # a row a power of the root of two
-    found = written(candidates(rows, asks, Hasher(dim, scale, probes=probes), need, shard_rows, block_rows), "candidates").groupBy("q", "c").agg(F.first("score").alias("score"))
-    n_rows = rows.count()
-    enough = found.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(need, n_rows)).select("q")
-    short = written(asks.join(enough, "q", "left_anti"), "short")
+    found = written(candidates(rows, asks, Hasher(dim, scale, probes=probes), need, shard_rows, block_rows), "candidates")
+    # A query's lists are as many as its probes at most; a candidate of several tables has the same score in each.
+    merged = lambda df: df.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    found, n_rows = merged(found), rows.count()
+    enough = written(found.where(F.size("found") >= min(need, n_rows)), "enough")
+    short = written(asks.join(enough.select("q"), "q", "left_anti"), "short")
     n_short = short.count()
     if n_short:
-        found = found.join(enough, "q", "left_semi").unionByName(everything(rows, short, need, shard_rows, block_rows, (n_rows, n_short)))
-    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("n") <= need).select("q", "c", "score")
+        enough = enough.unionByName(merged(everything(rows, short, need, shard_rows, block_rows, (n_rows, n_short))))
+    by = lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["c"] < y["c"], -1).when(x["c"] > y["c"], 1).otherwise(0)
+    ranked = enough.select("q", F.explode(F.slice(F.array_sort("found", by), 1, need)).alias("x")).select("q", "x.c", "x.score")
     ranked = ranked.join(rows.select("c", "ids"), "c").select("q", F.explode("ids").alias("id"), "score")
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= need)
     ranked = written(ranked.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("found")), "best")

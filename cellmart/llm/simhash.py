@@ -263,21 +263,30 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     marked = written(rows.mapInArrow(signed, f"doc_id {kind}, h1 long, h2 long, node binary, size long, keys array<long>"), "signatures")
     nodes = marked.groupBy("node").agg(_first().alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    keyed = nodes.select("id", "size", F.explode("keys").alias("k"))
-    buckets = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1"), "buckets")
-    member = written(keyed.join(buckets, "k").select("k", "id", "size", "hub", "m"), "members")
+    keyed = nodes.select("id", F.explode("keys").alias("k"))
+    buckets = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
+    member = written(keyed.join(buckets, "k").select("k", "id", "m"), "members")
+    # The hub of a bucket is its node of most company in all buckets: of a group of near copies, that is the one in the middle.
+    company = written(member.groupBy("id").agg(F.sum("m").alias("company")), "company")
+    hubs = written(member.join(company, "id").groupBy("k").agg(F.max_by("id", F.struct("company", "id")).alias("hub")), "hubs")
     # Sets are made of candidates only, from the text of the row that stands for each.
     some = nodes.join(member.select("id").distinct(), "id", "left_semi").select("id", *[F.col(f"least.{c}").alias(f"l_{c}") for c in ("doc_id", "h1", "h2")])
     some = written(some, "candidates")
     text = rows.join(some, F.col("doc_id").eqNullSafe(F.col("l_doc_id")) & (F.col("h1") == F.col("l_h1")) & (F.col("h2") == F.col("l_h2")))
     sets = written(text.select("id", "text").mapInArrow(listed, "id long, s array<long>").groupBy("id").agg(F.first("s").alias("s")), "sets")
-    edges = written(_verified(member.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), sets, least), "links")
+    ordered = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+    edges = written(_verified(member.join(hubs, "k").where("id <> hub").select(*ordered("id", "hub")).distinct(), sets, least), "links")
     roots = written(components(edges), "roots")
-    for key, part in _left(member.join(roots, member["id"] == roots["node"], "left").select("k", "id", "size", "m", F.coalesce("root", "id").alias("root")), nodes):
+    member = member.join(roots, member["id"] == roots["node"], "left").select("k", "m", "id", F.coalesce("root", "id").alias("root"))
+    for keys, part in _left(member, nodes):
         part = written(part, "apart")
-        other = part.select(key, *[F.col(c).alias(f"other_{c}") for c in ("id", "size", "root")])
-        near = F.least("size", "other_size") >= least * F.greatest("size", "other_size")  # else the similarity can't be reached
-        pairs = part.join(other, key).where("id > other_id and root <> other_root").where(near).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+        # Nodes outside a bucket's largest component meet all others; those inside it needn't meet one another.
+        major = part.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max_by("root", F.struct("n", "root")).alias("major"))
+        part = part.join(written(major, "major"), keys)
+        mine = part.where("root <> major").select(*keys, *[F.col(c).alias(f"my_{c}") for c in ("id", "size", "root", "keys")])
+        near = F.least("size", "my_size") >= least * F.greatest("size", "my_size")  # else the similarity can't be reached
+        once = F.slice(F.array_intersect("my_keys", "keys"), 1, len(keys)) == F.array(*keys)  # the first keys that they share
+        pairs = mine.join(part, keys).where("my_root <> root and (root = major or my_id > id)").where(near).where(once).select(*ordered("id", "my_id"))
         edges = edges.unionByName(written(_verified(pairs, sets, least), "links"))
     roots = written(components(edges), "roots")
     of = written(nodes.join(roots, nodes["id"] == roots["node"], "left").select(nodes["node"], "least", F.coalesce("root", "id").alias("root")), "of")
@@ -286,27 +295,27 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     return marked.select("doc_id", "h1", "h2", "node").join(of, "node").select("doc_id", "h1", "h2", "first")
 
 
-def _left(member: DataFrame, nodes: DataFrame) -> Iterator[tuple[str, DataFrame]]:
-    """(key, nodes by bucket) of the buckets that the hubs have not made one component.
+def _left(member: DataFrame, nodes: DataFrame) -> Iterator[tuple[list[str], DataFrame]]:
+    """(keys, nodes by bucket) of the buckets that the hubs have not made one component.
 
-    A bucket of more than LIGHT nodes is split by the nodes' other keys: two nodes at NEAR_JACCARD that share one band's key
-    share another's too, but for a chance of about 1.6e-7, and unrelated ones hardly ever do.
+    A bucket of more than LIGHT nodes is split by the keys of later bands: two nodes at NEAR_JACCARD that share one band's key
+    share another's too, but for a chance of about 2.4e-6, and unrelated ones hardly ever do.
     """
-    apart = lambda df, key: df.join(written(df.groupBy(key).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(key), "apart"), key)
-    member = written(member, "members")
-    light = apart(member.where(F.col("m") <= LIGHT), "k")
-    yield "k", light.select("k", "id", "size", "root")
-    dense = written(apart(member.where(F.col("m") > LIGHT), "k"), "dense")
+    apart = lambda df, keys: df.join(written(df.groupBy(*keys).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*keys), "apart"), keys)
+    member = written(apart(written(member, "members"), ["k"]), "members")
+    whole = nodes.select("id", "size", "keys")
+    yield ["k"], member.where(F.col("m") <= LIGHT).join(whole, "id").select("k", "id", "size", "root", "keys")
+    dense = member.where(F.col("m") > LIGHT)
     if not dense.isEmpty():
-        by = dense.join(nodes.select("id", F.explode("keys").alias("k2")), "id").where("k <> k2")
-        by = by.select(F.xxhash64(F.least("k", "k2"), F.greatest("k", "k2")).alias("kk"), "id", "size", "root").distinct()
-        yield "kk", apart(written(by, "dense"), "kk").select("kk", "id", "size", "root")
+        by = dense.join(whole, "id").select("k", "id", "size", "root", "keys", F.explode(F.slice("keys", F.array_position("keys", F.col("k")).cast("int") + 1, BANDS)).alias("k2"))
+        by = written(apart(by.select("k", "k2", "id", "root"), ["k", "k2"]), "dense")
+        yield ["k", "k2"], by.join(whole, "id").select("k", "k2", "id", "size", "root", "keys")
 
 
 def similar(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_JACCARD) -> DataFrame:
     """One row per row of docs: doc_id, component_id; rows link where their sets of word shingles have that Jaccard similarity.
 
-    Equal sets fold into one node. Nodes that share a band's key are candidates: first each with its bucket's smallest node,
+    Equal sets fold into one node. Nodes that share a band's key are candidates: first each with its bucket's hub,
     and then, in buckets that this has not connected, nodes of different components, where dense buckets are split first.
     Every link is verified on the sets. docs needs doc_id and text; other columns are ignored. Null texts are empty and link
     with each other and with wordless ones. Null doc_ids are no component's smallest unless it has no other. Repeated rows give
