@@ -95,13 +95,14 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-_FOUND = "q long, found array<struct<score: double, c: long>>"
+#: Of each query the negated inner products and ids of its candidates, which sort in the order of results.
+_FOUND = "q long, found array<struct<away: double, c: long>>"
 
 
 def _lists(q: np.ndarray, c: np.ndarray, score: np.ndarray) -> pa.Table:
     """A row for each query, whose rows lie together, as _FOUND."""
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
-    pairs = pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(c, pa.int64())], ["score", "c"])
+    pairs = pa.StructArray.from_arrays([pa.array(-score, pa.float64()), pa.array(c, pa.int64())], ["away", "c"])
     return pa.table({"q": pa.array(q[first], pa.int64()), "found": pa.ListArray.from_arrays(pa.array(np.append(first, len(q)), pa.int32()), pairs)})
 
 
@@ -195,16 +196,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, shard_rows: i
     asks = written(asked.groupBy("v").agg(F.min("id").alias("q")), "queries")
     scale = {r.band: r.most for r in rows.groupBy("band").agg(F.max("norm").alias("most")).collect()}  # a row a power of the root of two
     found = written(candidates(rows, asks, Hasher(dim, scale, probes=probes), need, shard_rows, block_rows), "candidates")
-    # A query's lists are as many as its probes at most; a candidate of several tables has the same score in each.
-    merged = lambda df: df.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    found, n_rows = merged(found), rows.count()
+    # A query's lists are as many as its probes at most. A candidate of several tables stands there once for each, with the
+    # same product, so the best ones are among the first of all lists.
+    first = lambda n: F.slice(F.array_distinct(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, n * need)), 1, need)
+    merged = lambda df, n: df.groupBy("q").agg(first(n).alias("found"))
+    found, n_rows = merged(found, TABLES), rows.count()
     enough = written(found.where(F.size("found") >= min(need, n_rows)), "enough")
     short = written(asks.join(enough.select("q"), "q", "left_anti"), "short")
     n_short = short.count()
     if n_short:
-        enough = enough.unionByName(merged(everything(rows, short, need, shard_rows, block_rows, (n_rows, n_short))))
-    by = lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["c"] < y["c"], -1).when(x["c"] > y["c"], 1).otherwise(0)
-    ranked = enough.select("q", F.explode(F.slice(F.array_sort("found", by), 1, need)).alias("x")).select("q", "x.c", "x.score")
+        enough = enough.unionByName(merged(everything(rows, short, need, shard_rows, block_rows, (n_rows, n_short)), 1))
+    ranked = enough.select("q", F.explode("found").alias("x")).select("q", "x.c", (-F.col("x.away")).alias("score"))
     ranked = ranked.join(rows.select("c", "ids"), "c").select("q", F.explode("ids").alias("id"), "score")
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= need)
     ranked = written(ranked.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("found")), "best")
