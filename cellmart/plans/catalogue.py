@@ -398,12 +398,12 @@ def point_in_polygon(spark, d):
     return spatial.join_points(cubes.exportable(inc.incidents(spark, d)).select("source_incident_id", "longitude", "latitude"), p).select("source_incident_id", "geoid")
 
 
-@query("""WITH w AS (SELECT c_custkey AS id, unnest(range(0, 1000, 364)) AS s FROM customer WHERE c_custkey <= 50)
+@query("""WITH w AS (SELECT c_custkey AS id, unnest(range(0, 1000, 364)) AS s FROM customer)
 SELECT id, strftime(DATE '2020-01-01' + CAST(s AS INT), '%Y-%m-%d') AS start, strftime(least(DATE '2020-01-01' + CAST(s AS INT) + 364, DATE '2020-01-01' + 999), '%Y-%m-%d') AS stop FROM w WHERE s < 999""")
 def time_windows(spark, d):
     since = F.lit("2020-01-01").cast("date")
     w = readers.windows(since, F.date_add(since, 999), 364)
-    rows = inc.table(spark, d, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("id"), F.explode(w).alias("w"))
+    rows = inc.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(w).alias("w"))
     return rows.select("id", F.date_format("w.start", "yyyy-MM-dd").alias("start"), F.date_format("w.stop", "yyyy-MM-dd").alias("stop"))
 
 
@@ -468,11 +468,14 @@ def heat_weights(spark, d):
     return cubes.exportable(inc.incidents(spark, d)).groupBy("state").agg(F.round(F.sum(api.heat_weight(F.col("severity"))), 6).alias("weight"))
 
 
-@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE LPAD(CAST(s_suppkey % 60 AS VARCHAR), 2, '0') END AS fips, CASE s_suppkey % 60 WHEN 6 THEN 'CA' WHEN 17 THEN 'IL' WHEN 36 THEN NULL WHEN 48 THEN NULL END AS abbr FROM supplier WHERE s_suppkey % 60 IN (6, 17, 36, 48, 3)""")
+_FIPS = "CASE WHEN s_suppkey % 4 <> 0 THEN lpad(CAST(s_suppkey % 60 AS VARCHAR), 2, '0') END"
+
+
+@query(f"SELECT s_suppkey AS id, {_FIPS} AS fips, CASE {_FIPS} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in model.STATES.items())} END AS abbr FROM supplier")
 def state_codes(spark, d):
     k = F.col("s_suppkey")
     fips = F.when(k % 4 != 0, F.lpad((k % 60).cast("string"), 2, "0"))
-    rows = inc.table(spark, d, "supplier").where((k % 60).isin(6, 17, 36, 48, 3)).select(k.alias("id"), fips.alias("fips"))
+    rows = inc.table(spark, d, "supplier").select(k.alias("id"), fips.alias("fips"))
     return rows.select("id", "fips", text.state_abbr(F.col("fips")).alias("abbr"))
 
 
