@@ -215,12 +215,12 @@ def _mixers() -> tuple[np.ndarray, np.ndarray]:
     return tuple(rng.integers(1 << 32, size=(BANDS * BAND_ROWS, 1), dtype=np.uint32) | np.uint32(odd) for odd in (1, 0))
 
 
-def bands(found: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> list[int]:
-    """One key a band, of the BAND_ROWS least mixed hashes; none without shingles."""
+def bands(found: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> tuple[list[int], list[int]]:
+    """One key a band, of the BAND_ROWS least mixed hashes, and the low bytes of all, eight in an integer; none without shingles."""
     import xxhash
 
     if not len(found):
-        return []
+        return [], []
     a, b = mixers
     low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     h = (found ^ (found >> np.uint64(32))).astype(np.uint32)
@@ -229,7 +229,14 @@ def bands(found: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> list[int]
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x85EBCA6B)
         np.minimum(low, x.min(axis=1), out=low)
-    return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low.reshape(BANDS, BAND_ROWS))]
+    keys = [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low.reshape(BANDS, BAND_ROWS))]
+    return keys, np.ascontiguousarray(low.astype(np.uint8)).view("<i8").tolist()
+
+
+def _most_differing(least: float) -> int:
+    """As many of the least hashes of two sets of that similarity differ at most, but for a chance of about 1e-5."""
+    n = BANDS * BAND_ROWS
+    return int(n * (1 - least) + 4.3 * (n * least * (1 - least)) ** 0.5) + 1
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -252,16 +259,17 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
         for b in rows_of(batches, 1000):
             found = [shingles(t, words) for t in b.column(3).to_pylist()]
             node, size = [xxhash.xxh3_128_digest(x.tobytes()) for x in found], [len(x) for x in found]
-            keys = pa.array([bands(x, mixers) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.binary()), pa.array(size, pa.int64()), keys], names=["doc_id", "h1", "h2", "node", "size", "keys"])
+            marks = [bands(x, mixers) for x in found]
+            keys, low = (pa.array(list(x), pa.list_(pa.int64())) for x in zip(*marks, strict=True))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.binary()), pa.array(size, pa.int64()), keys, low], names=["doc_id", "h1", "h2", "node", "size", "keys", "low"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 1000, 1 << 20):
             found = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
 
-    marked = written(rows.mapInArrow(signed, f"doc_id {kind}, h1 long, h2 long, node binary, size long, keys array<long>"), "signatures")
-    nodes = marked.groupBy("node").agg(_first().alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    marked = written(rows.mapInArrow(signed, f"doc_id {kind}, h1 long, h2 long, node binary, size long, keys array<long>, low array<long>"), "signatures")
+    nodes = marked.groupBy("node").agg(_first().alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("low").alias("low"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("id", F.explode("keys").alias("k"))
     buckets = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
@@ -278,16 +286,13 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     edges = written(_verified(member.join(hubs, "k").where("id <> hub").select(*ordered("id", "hub")).distinct(), sets, least), "links")
     roots = written(components(edges), "roots")
     member = member.join(roots, member["id"] == roots["node"], "left").select("k", "m", "id", F.coalesce("root", "id").alias("root"))
-    for keys, part in _left(member, nodes):
-        part = written(part, "apart")
-        # Nodes outside a bucket's largest component meet all others; those inside it needn't meet one another.
-        major = part.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max_by("root", F.struct("n", "root")).alias("major"))
-        part = part.join(written(major, "major"), keys)
-        mine = part.where("root <> major").select(*keys, *[F.col(c).alias(f"my_{c}") for c in ("id", "size", "root", "keys")])
-        near = F.least("size", "my_size") >= least * F.greatest("size", "my_size")  # else the similarity can't be reached
-        once = F.slice(F.array_intersect("my_keys", "keys"), 1, len(keys)) == F.array(*keys)  # the first keys that they share
-        pairs = mine.join(part, keys).where("my_root <> root and (root = major or my_id > id)").where(near).where(once).select(*ordered("id", "my_id"))
-        edges = edges.unionByName(written(_verified(pairs, sets, least), "links"))
+    apart = written(member.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("m").alias("m")).where("x <> y").select("k", "m"), "apart")
+    member = member.drop("m").join(apart, "k").join(nodes.select("id", "size", "keys", "low"), "id")
+    for part, found in ((written(member.where(F.col("m") <= LIGHT), "light"), _few), (written(member.where(F.col("m") > LIGHT), "dense"), _many)):
+        if not part.isEmpty():
+            # Nodes outside a bucket's largest component meet all others; those inside it needn't meet one another.
+            major = part.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("root", F.struct("n", "root")).alias("major"), (F.sum("n") - F.max("n")).alias("out"))
+            edges = edges.unionByName(written(found(part.join(written(major, "major"), "k"), sets, least), "links"))
     roots = written(components(edges), "roots")
     of = written(nodes.join(roots, nodes["id"] == roots["node"], "left").select(nodes["node"], "least", F.coalesce("root", "id").alias("root")), "of")
     first = written(of.groupBy("root").agg(F.min("least").alias("first")), "firsts")
@@ -295,28 +300,58 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     return marked.select("doc_id", "h1", "h2", "node").join(of, "node").select("doc_id", "h1", "h2", "first")
 
 
-def _left(member: DataFrame, nodes: DataFrame) -> Iterator[tuple[list[str], DataFrame]]:
-    """(keys, nodes by bucket) of the buckets that the hubs have not made one component.
+def _few(part: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links in small buckets, each pair looked at in the first bucket that it shares."""
+    mine = part.where("root <> major").select("k", *[F.col(c).alias(f"my_{c}") for c in ("id", "size", "root", "keys")])
+    near = F.least("size", "my_size") >= least * F.greatest("size", "my_size")  # else the similarity can't be reached
+    once = F.get(F.array_intersect("my_keys", "keys"), F.lit(0)) == F.col("k")
+    pairs = mine.join(part, "k").where("my_root <> root and (root = major or my_id > id)").where(near).where(once)
+    return _verified(pairs.select(F.greatest("id", "my_id").alias("a"), F.least("id", "my_id").alias("b")), sets, least)
+
 
-    A bucket of more than LIGHT nodes is split by the keys of later bands: two nodes at NEAR_JACCARD that share one band's key
-    share another's too, but for a chance of about 2.4e-6, and unrelated ones hardly ever do.
+def _many(part: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links in large buckets, chunk by chunk: of each node outside the largest component one to each other component it touches.
+
+    The least hashes rule out pairs that are far apart before sets are compared; of pairs at NEAR_JACCARD they lose about one
+    in 1e5, of more similar ones far fewer.
     """
-    apart = lambda df, keys: df.join(written(df.groupBy(*keys).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*keys), "apart"), keys)
-    member = written(apart(written(member, "members"), ["k"]), "members")
-    whole = nodes.select("id", "size", "keys")
-    yield ["k"], member.where(F.col("m") <= LIGHT).join(whole, "id").select("k", "id", "size", "root", "keys")
-    dense = member.where(F.col("m") > LIGHT)
-    if not dense.isEmpty():
-        by = dense.join(whole, "id").select("k", "id", "size", "root", "keys", F.explode(F.slice("keys", F.array_position("keys", F.col("k")).cast("int") + 1, BANDS)).alias("k2"))
-        by = written(apart(by.select("k", "k2", "id", "root"), ["k", "k2"]), "dense")
-        yield ["k", "k2"], by.join(whole, "id").select("k", "k2", "id", "size", "root", "keys")
+    part = part.join(sets, "id").select("k", "id", "size", "root", "keys", "low", "s", "major", "m", "out")
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("id"), chunks(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    left = part.where("root <> major").select("*", mine("out").alias("i"), every("m").alias("j"), F.lit(True).alias("left"))
+    right = part.select("*", every("out").alias("i"), mine("m").alias("j"), F.lit(False).alias("left"))
+    most = _most_differing(least)
+
+    def compare(g: pa.Table) -> pa.Table:
+        ids, size, root, left = (g.column(c).to_numpy() for c in ("id", "size", "root", "left"))
+        keys, low = (g.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("keys", "low"))
+        low, sets = np.ascontiguousarray(low).view(np.uint8), g.column("s").combine_chunks()
+        k, major = g.column("k")[0].as_py(), g.column("major")[0].as_py()
+        other, out = np.flatnonzero(~left), []
+        for x in np.flatnonzero(left):
+            y = other[(root[other] != root[x]) & ((root[other] == major) | (ids[other] < ids[x]))]
+            y = y[np.minimum(size[y], size[x]) >= least * np.maximum(size[y], size[x])]
+            y = y[np.count_nonzero(low[y] != low[x], axis=1) <= most]
+            y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == k]  # a pair is looked at in the first bucket that it shares
+            mine, linked = sets[int(x)].values.to_numpy() if len(y) else None, set()
+            for i in y:
+                if root[i] not in linked:
+                    both = len(np.intersect1d(mine, sets[int(i)].values.to_numpy(), assume_unique=True))
+                    if both / (size[x] + size[i] - both) >= least:
+                        linked.add(root[i])
+                        out.append((max(ids[x], ids[i]), min(ids[x], ids[i])))
+        e = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": e[:, 0], "b": e[:, 1]})
+
+    return left.unionByName(right).groupBy("k", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_JACCARD) -> DataFrame:
     """One row per row of docs: doc_id, component_id; rows link where their sets of word shingles have that Jaccard similarity.
 
     Equal sets fold into one node. Nodes that share a band's key are candidates: first each with its bucket's hub,
-    and then, in buckets that this has not connected, nodes of different components, where dense buckets are split first.
+    and then, in buckets that this has not connected, nodes of different components, in dense buckets chunk by chunk.
     Every link is verified on the sets. docs needs doc_id and text; other columns are ignored. Null texts are empty and link
     with each other and with wordless ones. Null doc_ids are no component's smallest unless it has no other. Repeated rows give
     repeated rows. An empty table gives an empty result.
