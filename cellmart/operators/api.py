@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmart import model
@@ -103,11 +103,10 @@ def has_more(offset: int, got: int, whole: int) -> bool:
 
 def breaks(counts: DataFrame, column: str = "cnt") -> DataFrame:
     """smallest, quartiles by nearest rank without interpolation, largest. The order statistics come from ranks by value."""
-    values = counts.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    whole = values.agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("v", "n"))).alias("all"))  # the distinct counts are few
-    upto = F.aggregate("all", F.array().cast("array<struct<v:bigint,n:bigint>>"), lambda acc, x: F.concat(acc, F.array(F.struct(x["v"].cast("long").alias("v"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["n"], F.lit(0)) + x["n"]).alias("n")))))
-    at = lambda q: F.get(F.filter("upto", lambda x: x["n"] > F.least(F.floor(F.lit(q) * F.col("total")), F.col("total") - 1)), F.lit(0))["v"]
-    return whole.select("total", upto.alias("upto")).select(at(0.0).alias("lo"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(1.0).alias("hi"))
+    values = counts.groupBy(F.col(column).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = values.select("v", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))  # the distinct counts are few
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(q) * F.col("total")), F.col("total") - 1), F.col("v")))
+    return upto.agg(at(0.0).alias("lo"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(1.0).alias("hi"))
 
 
 def choropleth(counts: DataFrame, areas: DataFrame) -> DataFrame:

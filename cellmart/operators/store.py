@@ -66,11 +66,16 @@ class Unenriched(ValueError):
     pass
 
 
+def unenriched(incidents: DataFrame) -> DataFrame:
+    """Sources with exportable rows not yet attributed, and how many."""
+    return incidents.where("has_coordinates and not enriched").groupBy("source_id").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def require_enriched(incidents: DataFrame) -> DataFrame:
-    """An error that lists the sources with exportable rows not yet attributed."""
-    left = incidents.where("has_coordinates and not enriched").groupBy("source_id").count().orderBy("source_id").limit(100).collect()
+    """An error that lists all those sources; the registry bounds their number."""
+    left = unenriched(incidents).orderBy("source_id").collect()
     if left:
-        raise Unenriched(", ".join(f"{r.source_id}: {r['count']}" for r in left))
+        raise Unenriched(", ".join(f"{r.source_id}: {r.cnt}" for r in left))
     return incidents
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from datetime import date, datetime, time, timedelta
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,6 +43,11 @@ def _day(raw: str) -> str:
     return raw.split("T")[0][:10]
 
 
+def _midnight(raw: str, later: int = 0) -> Column:
+    """The day's beginning, or that of a later day, as a literal that reaches the scan; text that is no day is an error."""
+    return F.lit(datetime.combine(date.fromisoformat(_day(raw)) + timedelta(days=later), time())).cast("timestamp_ntz")
+
+
 def _date(raw: str) -> str:
     """A date or date and time; anything else is an error."""
     if not re.fullmatch(r"\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?Z?)?", raw):
@@ -131,11 +137,13 @@ class Counts:
         if self.bbox:
             w, s, e, n = self.bbox
             out += [F.col("longitude").between(w, e), F.col("latitude").between(s, n)]
-        day = F.col("occurred_at").cast("string")
-        if self.day_from:
-            out.append(day >= (self.day_from if compat else _day(self.day_from)))
-        if self.day_to:
-            out.append((day <= self.day_to) if compat else (F.substring(day, 1, 10) <= _day(self.day_to)))
+        at = F.col("occurred_at")
+        if compat:
+            out += [at.cast("string") >= self.day_from] if self.day_from else []
+            out += [at.cast("string") <= self.day_to] if self.day_to else []
+        else:
+            out += [at >= _midnight(self.day_from)] if self.day_from else []
+            out += [at < _midnight(self.day_to, 1)] if self.day_to else []
         if self.arrest is not None:
             out.append(F.col("arrest_made") == int(self.arrest))
         return reduce(lambda a, b: a & b, out)

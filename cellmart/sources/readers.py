@@ -38,6 +38,31 @@ def features(found: DataFrame) -> DataFrame:
     return f.select(F.try_parse_json(joined).alias("record")).where("record is not null")
 
 
+def flat_records(raw: DataFrame, part: str, path: str, prefix: str, plain: tuple[str, ...] = ()) -> DataFrame:
+    """The field `part` gives way to the fields of the object at `path` in it, prefixed but for the plain ones; a field that
+    stands at the top keeps its value."""
+    whole = F.try_variant_get("record", "$", "map<string,variant>")
+    inner = F.coalesce(F.try_variant_get("record", f"$.{part}.{path}", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    rows = raw.select(F.map_filter(whole, lambda k, _: k != part).alias("top"), F.transform_keys(inner, lambda k, _: F.when(k.isin(*plain), k).otherwise(F.concat(F.lit(prefix), k))).alias("own"))
+    own = F.map_filter("own", lambda k, _: ~F.map_contains_key("top", k))
+    return rows.where("top is not null").select(F.to_variant_object(F.map_concat("top", own)).alias("record"))
+
+
+def point_records(raw: DataFrame, point: str, longitude: str, latitude: str, narrative: str) -> DataFrame:
+    """A10: the GeoJSON point in a field becomes two fields, if it has both numbers; a narrative loses line-break tags and
+    control characters but newlines, and is empty where it is no text."""
+    whole = F.try_variant_get("record", "$", "map<string,variant>")
+    at = lambda i: F.try_variant_get("record", f"$.{point}.coordinates[{i}]", "double")
+    v = F.try_variant_get("record", f"$.{narrative}", "variant")
+    words = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get("record", f"$.{narrative}", "string")).otherwise("")
+    words = F.regexp_replace(F.regexp_replace(words, "<br ?/>|<br>", " "), r"[\x00-\x09\x0B-\x1F\x7F-\x9F]", "")
+    texts = F.when(v.isNotNull(), F.create_map(F.lit(narrative), words)).otherwise(F.create_map().cast("map<string,string>"))
+    places = F.when(at(0).isNotNull() & at(1).isNotNull(), F.create_map(F.lit(longitude), at(0), F.lit(latitude), at(1))).otherwise(F.create_map().cast("map<string,double>"))
+    cast = lambda m: F.transform_values(m, lambda _, x: x.cast("variant"))
+    rows = raw.select(F.map_filter(whole, lambda k, _: ~k.isin(point, narrative, longitude, latitude)).alias("top"), cast(texts).alias("texts"), cast(places).alias("places"))
+    return rows.where("top is not null").select(F.to_variant_object(F.map_concat("top", "texts", "places")).alias("record"))
+
+
 def csv_records(spark: SparkSession, path: str, separator: str = ",", limit: int | None = None) -> DataFrame:
     """All values as trimmed strings, missing ones empty."""
     df = spark.read.csv(path, header=True, sep=separator, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=False)

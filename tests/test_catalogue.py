@@ -10,6 +10,24 @@ from cellmart.plans import catalogue
 from tests.conftest import SF
 
 
+def osa_within(a: str, b: str, most: int) -> bool:
+    """Optimal string alignment: whether at most so many insertions, deletions, changes and swaps of neighbours lead from a to b."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    two, one = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, two[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return False
+        two, one = one, row
+    return one[-1] <= most
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -40,8 +58,6 @@ def test_runs(spark, name):
 
 
 def test_geocode_job_against_every_pair(spark, tmp_path):
-    from cellmart.operators.geocode import osa_within
-
     cities = ("BUILDING", "BUILDINGS", "MACHINERY")
     c = pd.DataFrame({"c_custkey": range(1, 91), "c_mktsegment": [cities[i * i % 3 if i != 14 else 0] for i in range(1, 91)]})
     spark.createDataFrame(c).write.parquet(str(tmp_path / "customer.parquet"))
