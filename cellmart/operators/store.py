@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -79,6 +80,19 @@ def require_enriched(incidents: DataFrame) -> DataFrame:
     return incidents
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder in spark.checkpoint.dir, deleted when the driver ends; where that is unset, a temporary one if all runs in one place."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    at = f"{(top or 'file://' + tempfile.gettempdir()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
 class Versions:
     """A table as version folders and a pointer file; readers see whole versions only. Paths may be in any store Spark writes."""
 

@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmart import model
 from cellmart.functions import hexgrid, text
-from cellmart.operators import api, cubes, geocode, spatial, store, tools
+from cellmart.operators import api, conversations, cubes, geocode, spatial, store, tools
 from cellmart.plans import incidents as inc
+from cellmart.plans import records  # noqa: F401  (registers its queries)
 from cellmart.plans.filters import Analytics, Counts
+from cellmart.plans.registry import QUERIES, SQL, Query, query
 from cellmart.sources import mapping, readers
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 BOX = (-112.0, 27.0, -90.0, 43.0)
 COUNTS = Counts(bbox=BOX, day_from="1995-01-01", day_to="1997-06-30", severity_min=2)
 FACT = f"i AS ({inc.SQL}), f AS (SELECT * FROM i WHERE {inc.EXPORTABLE_SQL})"
@@ -30,16 +27,6 @@ CUBE = f"""{FACT}, cube AS (
 COUNTS_SQL = "cell_lng BETWEEN -112000 AND -90000 AND cell_lat BETWEEN 27000 AND 43000 AND day >= '1995-01-01' AND day <= '1997-06-30' AND severity >= 2"
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _cube(spark: SparkSession, d: str) -> DataFrame:
     return cubes.cell_cube(inc.incidents(spark, d))
 
@@ -372,10 +359,7 @@ def address_normalize(spark, d):
 @query("""SELECT c.conv_id, c.title, CAST(coalesce(m.n, 0) AS BIGINT) AS messages FROM (SELECT conv_id, arg_min(text, turn) AS title FROM conversations GROUP BY 1) c
 LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1) m ON c.conv_id = m.conv_id""")
 def conversation_list(spark, d):
-    rows = inc.table(spark, d, "conversations")
-    heads = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
-    counts = rows.where("role = 'user'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return heads.join(counts, "conv_id", "left").select("conv_id", "title", F.coalesce("n", F.lit(0)).alias("messages"))
+    return conversations.listing(inc.table(spark, d, "conversations"))
 
 
 @query(f"WITH {FACT} SELECT strftime(max(occurred_at) - INTERVAL 7 DAY, '%Y-%m-%d') AS since FROM i")
@@ -429,7 +413,7 @@ def normalized_records(spark, d):
     return rows.groupBy("subcategory", "category", "severity", "arrest_made", "has_coordinates").agg(F.count(F.lit(1)).alias("cnt"), F.count("occurred_at").alias("dated"))
 
 
-_SQL["normalized_records"] = f"""WITH r AS (SELECT *, list_extract([{', '.join(f"'{w}'" for w in _WORDS)}], CAST(o_orderkey % {len(_WORDS)} + 1 AS INT)) AS raw FROM orders),
+SQL["normalized_records"] = f"""WITH r AS (SELECT *, list_extract([{', '.join(f"'{w}'" for w in _WORDS)}], CAST(o_orderkey % {len(_WORDS)} + 1 AS INT)) AS raw FROM orders),
 t AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', {c})" for a, b, c in model.TAXONOMY)}) AS t(s, c, n))
 SELECT s AS subcategory, c AS category, n AS severity, o_orderkey % 2 = 0 AS arrest_made, true AS has_coordinates, CAST(count(*) AS BIGINT) AS cnt, CAST(count(o_orderdate) AS BIGINT) AS dated FROM (SELECT *, {_class_sql('raw')} AS k FROM r) JOIN t ON k = s GROUP BY ALL"""
 
@@ -480,8 +464,8 @@ def state_codes(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -96,8 +96,8 @@ class Source:
         return boolean(v, name) if kind == "bool" else F.lower(string(v, name)).contains(part.lower())
 
 
-def normalize(raw: DataFrame, s: Source, column: str = "record") -> DataFrame:
-    """Canonical records; those without an id fall out."""
+def normalize(raw: DataFrame, s: Source, column: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical records and columns to keep as they are; those without an id fall out."""
     v = F.col(column)
     null = F.lit(None)
     rows = raw.select(
@@ -105,9 +105,9 @@ def normalize(raw: DataFrame, s: Source, column: str = "record") -> DataFrame:
         s._date(v).alias("occurred_at"), s._coordinates(v).alias("at"), s._texts(v, s.description, s.separator).alias("description"),
         s._texts(v, s.address, " ").alias("block_address"), F.coalesce(string(v, s.city_field) if s.city_field else null.cast("string"), F.lit(s.city)).alias("city"),
         F.lit(s.state).alias("state"), s._arrest(v).alias("arrest_made"), (boolean(v, s.domestic) if s.domestic else null.cast("boolean")).alias("domestic"),
-        (string(v, s.location_type) if s.location_type else null.cast("string")).alias("location_type"))
+        (string(v, s.location_type) if s.location_type else null.cast("string")).alias("location_type"), *keep)
     placed = F.col("at.longitude").isNotNull()
     return rows.where("source_incident_id is not null").select(
         F.lit(s.id).alias("source_id"), "source_incident_id", "subcategory", text.category_of(F.col("subcategory")).alias("category"), text.severity_of(F.col("subcategory")).alias("severity"),
         F.coalesce("at.longitude", F.lit(0.0)).alias("longitude"), F.coalesce("at.latitude", F.lit(0.0)).alias("latitude"), "occurred_at", "description", "block_address",
-        "city", "state", "arrest_made", "domestic", "location_type", placed.alias("has_coordinates"), F.lit(False).alias("geocoded"))
+        "city", "state", "arrest_made", "domestic", "location_type", placed.alias("has_coordinates"), F.lit(False).alias("geocoded"), *keep)
