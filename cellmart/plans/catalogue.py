@@ -418,7 +418,9 @@ t AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', {c})" for a, b, c in mod
 SELECT s AS subcategory, c AS category, n AS severity, o_orderkey % 2 = 0 AS arrest_made, true AS has_coordinates, CAST(count(*) AS BIGINT) AS cnt, CAST(count(o_orderdate) AS BIGINT) AS dated FROM (SELECT *, {_class_sql('raw')} AS k FROM r) JOIN t ON k = s GROUP BY ALL"""
 
 
-@query()
+@query("""SELECT concat('i', CAST(a.c_custkey AS VARCHAR)) AS source_incident_id, CAST(-87.5 AS DOUBLE) + floor(b.c_custkey / CAST(4000 AS DOUBLE)) / 1000 AS longitude, 40 + b.c_custkey % 4000 / CAST(100 AS DOUBLE) AS latitude
+FROM customer a JOIN customer b ON b.c_custkey = CASE WHEN a.c_custkey % 2 = 0 THEN a.c_custkey // 2 ELSE a.c_custkey END
+WHERE NOT (b.c_custkey = 7 AND a.c_mktsegment = 'BUILDING') AND (b.c_custkey % 2 = 0 OR damerau_levenshtein(a.c_mktsegment, b.c_mktsegment) <= 1)""")
 def geocode_job(spark, d):
     """Every customer is an entry of the index; even ones ask for the house of half their number, odd ones for their own."""
     c = inc.table(spark, d, "customer")
@@ -430,7 +432,8 @@ def geocode_job(spark, d):
     return geocode.geocode(rows, cache, [("local", 2, geocode.local_resolver(geocode.index(known)))])
 
 
-@query()
+@query(f"""SELECT c AS category, concat('[', string_agg(concat('{{"name":"', s, '","severity":', CAST(n AS VARCHAR), '}}'), ',' ORDER BY s), ']') AS subcategories
+FROM (VALUES {', '.join(f"('{a}', '{b}', {c})" for a, b, c in model.TAXONOMY)}) AS t(s, c, n) GROUP BY 1""")
 def taxonomy_tree(spark, d):
     return api.taxonomy(spark).select("category", F.to_json("subcategories").alias("subcategories"))
 
