@@ -78,9 +78,19 @@ def test_clusters_number_and_layers():
     assert [api.layer(z) for z in (7, 8, 13)] == ["heatmap", "hexagons", "points"]
 
 
-def test_edit_distance():
-    for a, b, ok in (("OAK", "OKA", True), ("OAK", "OAKS", True), ("OAK", "ELM", False), ("", "", True), ("AB", "BAC", False), ("MAIN", "MAIN", True)):
-        assert geocode.osa_within(a, b, 1) is ok
+def test_edit_distance(spark):
+    from itertools import product
+
+    from tests.test_catalogue import osa_within
+
+    cases = [("OAK", "OKA", True), ("OAK", "OAKS", True), ("OAK", "ELM", False), ("", "", True), ("AB", "BAC", False), ("MAIN", "MAIN", True)]
+    words = ["".join(w) for n in range(5) for w in product("AB", repeat=n)] + ["ABC", "CBA", "ACB", "BAC", "ABCD", "BADC"]
+    df = spark.createDataFrame([(a, b, ok) for a, b, ok in cases] + [(a, b, osa_within(a, b, 1)) for a in words for b in words], "a string, b string, ok boolean")
+    assert df.where(geocode.near_word(F.col("a"), F.col("b")) != F.col("ok")).count() == 0
+    assert df.where(geocode.near_word(F.col("a"), F.col("b")).isNull()).count() == 0
+    pairs = [("1 OAK STREET", "1 OKA STRET", True), ("1 OAK STREET", "1 OAK", False), ("", "", False), ("1 OAK", "1 ELM", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, ok boolean")
+    assert df.where(geocode.near_words("a", "b") != F.col("ok")).count() == 0
 
 
 def test_mapping_edge_rows(spark):
