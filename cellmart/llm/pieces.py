@@ -25,6 +25,9 @@ from cellmart.llm.token_memo import Memo, distinct, flat, public_path, texts_of
 
 MODEL = "piece_bpe_32k.model"
 GAP = "▁"
+ROUND_TRIP_BYTES = 2 << 20  # of texts at once
+STRETCHES = 200_000  # remembered at most, and pairs of pieces side by side: what a worker holds is bounded
+BESIDE = 100_000
 
 
 class Vocabulary:
@@ -110,7 +113,7 @@ class Vocabulary:
                 least, left, came_right = x, self.halves(left)[1], False
             else:
                 least, right, came_right = y, self.halves(right)[0], True
-        if len(self.beside) > 300_000:
+        if len(self.beside) > BESIDE:
             self.beside.clear()
         self.beside[key] = ok
         return ok
@@ -200,7 +203,7 @@ class Coder:
 
     def __init__(self, v: Vocabulary, dummy_prefix: bool = True):
         self.v, self.dummy_prefix = v, dummy_prefix
-        self.memo = Memo(lambda stretches: [self._ids(s.replace(" ", GAP)) for s in stretches])
+        self.memo = Memo(lambda stretches: [self._ids(s.replace(" ", GAP)) for s in stretches], STRETCHES)
         # By code of the character, 128 for all beyond ASCII: whether some piece holds the two next to each other.
         self.joined = np.zeros((129, 129), bool)
         self.joined[128, 128] = True
@@ -293,6 +296,13 @@ def coder(model: str) -> Coder:
     return _coders[path]
 
 
+def _encoded(c: Coder, texts: pa.Array) -> pa.Array:
+    """The ids of texts, as bytes."""
+    ids, edges = c.encode(texts)
+    raw, at = memoryview(ids.astype("<u4")).cast("B"), (4 * edges).tolist()
+    return pa.array([raw[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, ids (little-endian unsigned 32-bit).
 
@@ -304,13 +314,19 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         for b in rows_of(batches, 10_000, 4 << 20):
-            ids, edges = c.encode(b.column(1))
-            raw, at = memoryview(ids.astype("<u4")).cast("B"), (4 * edges).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _encoded(c, b.column(1))], names=["doc_id", "ids"])
 
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
+def _decoded(c: Coder, raw: pa.Array) -> pa.Array:
+    """The texts of ids given as bytes; null ids give a null text."""
+    raw_ids = raw.to_pylist()
+    edges = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in raw_ids])]).astype(np.int64)
+    texts = c.decode(np.frombuffer(b"".join(x or b"" for x in raw_ids), "<u4"), edges)
+    return pc.if_else(raw.is_valid(), texts, pa.scalar(None, pa.string()))
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded (doc_id, ids, as encode() gives them) with the text of the ids; null ids give a null text."""
     rows = encoded.select(F.col("doc_id").alias("doc_id"), F.col("ids").alias("ids"))
@@ -318,9 +334,19 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         for b in rows_of(batches, 10_000, 4 << 20):
-            raw = b.column(1).to_pylist()
-            edges = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in raw])]).astype(np.int64)
-            texts = c.decode(np.frombuffer(b"".join(x or b"" for x in raw), "<u4"), edges)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.if_else(b.column(1).is_valid(), texts, pa.scalar(None, pa.string()))], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _decoded(c, b.column(1))], names=["doc_id", "ids", "text"])
+
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """decode(encode(docs)), where one worker does both: a task of two chained passes holds two workers, and the model twice."""
+    rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(model)
+        for b in rows_of(batches, 10_000, ROUND_TRIP_BYTES):
+            ids = _encoded(c, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, _decoded(c, ids)], names=["doc_id", "ids", "text"])
 
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")

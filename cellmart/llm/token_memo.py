@@ -121,10 +121,10 @@ def distinct(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, list[str]
 
 
 class Memo:
-    """Ids of chunks, kept in one array; places(chunks) says where. Once MEMO_CHUNKS are held, it begins anew."""
+    """Ids of chunks, kept in one array; places(chunks) says where. Once most (MEMO_CHUNKS) are held, it begins anew."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int | None = None):
+        self.encode_many, self.most = encode_many, most
         self._clear()
 
     def _clear(self) -> None:
@@ -151,7 +151,7 @@ class Memo:
 
     def places(self, chunks: list[str]) -> np.ndarray:
         """The number of each distinct chunk, whose ids are ids[start[number]:][:size[number]] until the next call."""
-        if self.n > MEMO_CHUNKS:
+        if self.n > (self.most or MEMO_CHUNKS):
             self._clear()
         at = list(map(self.known.get, chunks, repeat(-1)))
         if new := [c for c, i in zip(chunks, at, strict=True) if i < 0]:

@@ -14,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cellmart.llm import packing, pieces, token_memo, token_store
+from cellmart.llm import packing, pieces, queries, token_memo, token_store
+from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, start string, ids int"
 rng = random.Random(8)
@@ -143,6 +144,16 @@ def test_sentencepiece_equals_library(spark, monkeypatch):
     assert pieces.decode(pieces.encode(rows(spark).limit(0))).count() == 0
 
 
+def test_round_trip_in_one_worker(spark):
+    """The same rows as encoding and then decoding, with one Python pass a task; the query takes that way."""
+    docs = rows(spark, [*TEXTS, "日本語のテキスト" * 300])
+    both = pieces.round_trip(docs)
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, pieces.decode(pieces.encode(docs)).collect()), key=str)
+    assert pieces.round_trip(docs.limit(0)).count() == 0
+    for df in (both, queries.op10_sentencepiece(spark, SF)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def slow_unigram(v, text):
     best = [(0.0, [])]
     for j in range(1, len(text) + 1):
