@@ -10,9 +10,10 @@ first links what lies near its most frequent fingerprint, and only the rest is c
 giving a spanning forest and not its pairs. Nothing is capped: every link between two fingerprints is kept up to
 connectivity.
 
-The pipeline drops near copies by another rule: Jaccard similarity of five-word shingles, NEAR_JACCARD or more. Most such
-pairs lie more than MAX_BITS bits apart, so candidates come from BANDS keys of BAND_ROWS least hashes each (a pair at 0.8
-shares no key with a chance of about 1.3e-7), and every link is verified on the sets.
+The pipeline drops near copies at a Jaccard similarity of NEAR_JACCARD or more of five-word shingles. Its links come first from
+the same steps, on fingerprints of the sets: pigeonhole blocks, verified Hamming distance, and then the sets themselves. Most pairs
+at 0.8 lie more than MAX_BITS bits apart; for those, candidates share one of BANDS keys of BAND_ROWS least hashes (a pair at
+0.8 shares no key with a chance of about 1.3e-7). Every link is verified on the sets.
 """
 
 from __future__ import annotations
@@ -40,6 +41,15 @@ BAND_ROWS = 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     """The text's SimHash as a signed 64-bit integer; 0 without words."""
     import xxhash
@@ -56,8 +66,8 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     for at in range(0, n, 1 << 17):
         pairs = zip(begin[at : at + (1 << 17)].tolist(), stop[at : at + (1 << 17)].tolist(), strict=True)
         h = np.array([digest(flat[a:b], seed) for a, b in pairs], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+        ones += _ones(h)
+    return _majority(ones, n)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -210,6 +220,11 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in pairs), np.uint64, len(w) - k + 1))
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed 64-bit integer; 0 without shingles."""
+    return _majority(sum((_ones(found[at : at + (1 << 17)]) for at in range(0, len(found), 1 << 17)), np.zeros(64, np.int64)), len(found))
+
+
 def _mixers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return tuple(rng.integers(1 << 32, size=(BANDS * BAND_ROWS, 1), dtype=np.uint32) | np.uint32(odd) for odd in (1, 0))
@@ -261,16 +276,18 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
             node, size = [xxhash.xxh3_128_digest(x.tobytes()) for x in found], [len(x) for x in found]
             marks = [bands(x, mixers) for x in found]
             keys, low = (pa.array(list(x), pa.list_(pa.int64())) for x in zip(*marks, strict=True))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.binary()), pa.array(size, pa.int64()), keys, low], names=["doc_id", "h1", "h2", "node", "size", "keys", "low"])
+            fp = pa.array(map(set_fingerprint, found), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.binary()), pa.array(size, pa.int64()), fp, keys, low], names=["doc_id", "h1", "h2", "node", "size", "fp", "keys", "low"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 1000, 1 << 20):
             found = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
 
-    marked = written(rows.mapInArrow(signed, f"doc_id {kind}, h1 long, h2 long, node binary, size long, keys array<long>, low array<long>"), "signatures")
-    nodes = marked.groupBy("node").agg(_first().alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("low").alias("low"))
+    marked = written(rows.mapInArrow(signed, f"doc_id {kind}, h1 long, h2 long, node binary, size long, fp long, keys array<long>, low array<long>"), "signatures")
+    nodes = marked.groupBy("node").agg(_first().alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("low").alias("low"), F.first("fp").alias("fp"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    close = written(_close(nodes), "close")
     keyed = nodes.select("id", F.explode("keys").alias("k"))
     buckets = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
     member = written(keyed.join(buckets, "k").select("k", "id", "m"), "members")
@@ -278,12 +295,14 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     company = written(member.groupBy("id").agg(F.sum("m").alias("company")), "company")
     hubs = written(member.join(company, "id").groupBy("k").agg(F.max_by("id", F.struct("company", "id")).alias("hub")), "hubs")
     # Sets are made of candidates only, from the text of the row that stands for each.
-    some = nodes.join(member.select("id").distinct(), "id", "left_semi").select("id", *[F.col(f"least.{c}").alias(f"l_{c}") for c in ("doc_id", "h1", "h2")])
+    met = member.select("id").unionByName(close.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    some = nodes.join(met, "id", "left_semi").select("id", *[F.col(f"least.{c}").alias(f"l_{c}") for c in ("doc_id", "h1", "h2")])
     some = written(some, "candidates")
     text = rows.join(some, F.col("doc_id").eqNullSafe(F.col("l_doc_id")) & (F.col("h1") == F.col("l_h1")) & (F.col("h2") == F.col("l_h2")))
     sets = written(text.select("id", "text").mapInArrow(listed, "id long, s array<long>").groupBy("id").agg(F.first("s").alias("s")), "sets")
     ordered = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-    edges = written(_verified(member.join(hubs, "k").where("id <> hub").select(*ordered("id", "hub")).distinct(), sets, least), "links")
+    pairs = close.unionByName(member.join(hubs, "k").where("id <> hub").select(*ordered("id", "hub"))).distinct()
+    edges = written(_verified(pairs, sets, least), "links")
     roots = written(components(edges), "roots")
     member = member.join(roots, member["id"] == roots["node"], "left").select("k", "m", "id", F.coalesce("root", "id").alias("root"))
     apart = written(member.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("m").alias("m")).where("x <> y").select("k", "m"), "apart")
@@ -300,6 +319,16 @@ def _similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     return marked.select("doc_id", "h1", "h2", "node").join(of, "node").select("doc_id", "h1", "h2", "first")
 
 
+def _close(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (id, fp), a > b: of each fingerprint the first node with its others, and with those that links() finds."""
+    fps = written(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")), "distinct")
+    found = links(fps.select("fp", "n"), MAX_BITS, blocks_for(fps.count()))
+    a, b = (fps.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}")) for n in "ab")
+    met = found.join(a, "a").join(b, "b").select(F.greatest("head_a", "head_b").alias("a"), F.least("head_a", "head_b").alias("b"))
+    same = nodes.join(fps.where("n > 1"), "fp").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    return met.unionByName(same)
+
+
 def _few(part: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The links in small buckets, each pair looked at in the first bucket that it shares."""
     mine = part.where("root <> major").select("k", *[F.col(c).alias(f"my_{c}") for c in ("id", "size", "root", "keys")])
@@ -350,8 +379,8 @@ def _many(part: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR_JACCARD) -> DataFrame:
     """One row per row of docs: doc_id, component_id; rows link where their sets of word shingles have that Jaccard similarity.
 
-    Equal sets fold into one node. Nodes that share a band's key are candidates: first each with its bucket's hub,
-    and then, in buckets that this has not connected, nodes of different components, in dense buckets chunk by chunk.
+    Equal sets fold into one node. Nodes whose fingerprints lie within MAX_BITS are candidates, found by links(), and so are
+    those that share a band's key, for pairs farther apart: first each with its bucket's hub, and then, in buckets that this has not connected, nodes of different components, in dense buckets chunk by chunk.
     Every link is verified on the sets. docs needs doc_id and text; other columns are ignored. Null texts are empty and link
     with each other and with wordless ones. Null doc_ids are no component's smallest unless it has no other. Repeated rows give
     repeated rows. An empty table gives an empty result.

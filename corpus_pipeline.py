@@ -25,7 +25,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document of the smallest doc_id."""
+    """Of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document of the smallest doc_id.
+
+    SimHash and its pigeonhole blocks give the candidates within 4 bits, least hashes those farther apart; sets decide.
+    """
     return simhash.drop_similar(docs)
 
 

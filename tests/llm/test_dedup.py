@@ -98,6 +98,29 @@ def test_spanning_forest():
     assert simhash.spanning(np.array([], np.uint64), near, 4) == []
 
 
+def test_near_stage_links_by_simhash_blocks(spark, monkeypatch):
+    """Without the bands' keys, similar() links what lies within MAX_BITS, and only where the sets are similar enough."""
+    monkeypatch.setattr(simhash, "bands", lambda found, mixers: ([], []))
+    rng = random.Random(5)
+    texts = ["", None, "one two"]
+    for _ in range(8):
+        base = [rng.choice("the of and to in that".split()) + str(rng.randrange(900)) for _ in range(400)]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            w = list(base)
+            w[rng.randrange(400)] = "changed"
+            texts.append(" ".join(w))
+    docs = frame(spark, list(enumerate(texts)))
+    sets = [simhash.shingles(t or "", 5) for t in texts]
+    fps = [simhash.set_fingerprint(x) % 2**64 for x in sets]
+    assert fps[3:] == [simhash.fingerprint(t, 5) % 2**64 for t in texts[3:]] and fps[0] == 0
+    want = slow_components(list(range(len(texts))), fps)
+    assert len(set(want.values())) < len(texts) - 8  # the blocks have links to find
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want
+    kept = {r.component_id for r in simhash.similar(docs, least=0.999).collect()}
+    assert len(kept) == len(texts) - 1
+
+
 def test_near_duplicates_edge_rows(spark):
     docs = frame(spark, [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (None, "")])
     rows = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
