@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmart.llm.common import rows_of, text_or_empty
-from cellmart.llm.token_memo import Memo, distinct, flat, public_path, texts_of
+from cellmart.llm.token_memo import Memo, distinct, flat, placed, public_path, texts_of
 
 MODEL = "piece_bpe_32k.model"
 GAP = "▁"
@@ -203,7 +203,7 @@ class Coder:
 
     def __init__(self, v: Vocabulary, dummy_prefix: bool = True):
         self.v, self.dummy_prefix = v, dummy_prefix
-        self.memo = Memo(lambda stretches: [self._ids(s.replace(" ", GAP)) for s in stretches], STRETCHES)
+        self.memo = Memo(lambda stretches: placed([self._ids(s.replace(" ", GAP)) for s in stretches]), STRETCHES)
         # By code of the character, 128 for all beyond ASCII: whether some piece holds the two next to each other.
         self.joined = np.zeros((129, 129), bool)
         self.joined[128, 128] = True

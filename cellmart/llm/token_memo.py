@@ -4,10 +4,14 @@ A chunk is cut only where the tokenizer's own splitting always cuts, so the chun
 The places are found over the batch's bytes at once, chunks are dictionary-encoded in Arrow, only distinct ones become Python
 strings, and their ids are gathered back by position. A text that holds one of the tokenizer's special tokens, which the
 library takes out before it splits, goes to the library as it is.
+
+A tokenizer that lower-cases, drops white space and marks the end of each word (word_bpe_49k) gives "Word", " word" and "word"
+the same ids, so such chunks count as one, and the library takes words JOINED at a time; the marks tell whose ids are whose.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -22,6 +26,9 @@ _SEAM = re.compile(rb"(?<=[!-~])\x20(?=[!-~])")
 SLICE = 8 << 20
 MEMO_CHUNKS = 500_000
 MEMO_CHARS = 64
+JOINED = 100
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 _WHITE, _UNSURE = 1, 2
 _LETTER, _DIGIT, _MARK = 1, 2, 3
@@ -77,6 +84,24 @@ def cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at | begins[:-1])
 
 
+def folded(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where chunks begin) with A-Z lower-cased and one space at the front dropped, in chunks of ASCII only.
+
+    Beyond ASCII nothing is changed: composing characters comes before lower-casing there.
+    """
+    if not len(begins):
+        return raw, begins
+    plain = np.bitwise_or.reduceat(raw, begins) < 128
+    low = _LOWER[raw]
+    up = np.flatnonzero(low != raw)
+    up = up[~plain[np.searchsorted(begins, up, "right") - 1]]
+    low[up] = raw[up]
+    space = plain & (raw[begins] == 32)
+    keep = np.ones(len(raw), bool)
+    keep[begins[space]] = False
+    return low[keep], begins - (np.cumsum(space) - space)
+
+
 def slices(text: bytes, size: int) -> Iterator[bytes]:
     """The text in slices of about size bytes, cut at seams only."""
     at = 0
@@ -120,10 +145,16 @@ def distinct(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, list[str]
     return coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
+def placed(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each list begins, its length, all of them one behind the other)."""
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    return np.cumsum(size) - size, size, np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
+
+
 class Memo:
     """Ids of chunks, kept in one array; places(chunks) says where. Once most (MEMO_CHUNKS) are held, it begins anew."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int | None = None):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int | None = None):
         self.encode_many, self.most = encode_many, most
         self._clear()
 
@@ -139,14 +170,13 @@ class Memo:
     def _add(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 20_000):
             some = chunks[i : i + 20_000]
-            found = self.encode_many(some)
-            size = np.fromiter(map(len, found), np.int64, len(found))
+            start, size, ids = self.encode_many(some)
             n, used = self.n, self.used
-            self.n, self.used = n + len(some), used + int(size.sum())
+            self.n, self.used = n + len(some), used + len(ids)
             self.start, self.size, self.ids = self._grown(self.start, self.n), self._grown(self.size, self.n), self._grown(self.ids, self.used)
             self.size[n : self.n] = size
-            self.start[n : self.n] = used + np.cumsum(size) - size
-            self.ids[used : self.used] = np.fromiter((x for ids in found for x in ids), np.uint32, self.used - used)
+            self.start[n : self.n] = used + start
+            self.ids[used : self.used] = ids
             self.known.update(zip(some, range(n, self.n), strict=True))
 
     def places(self, chunks: list[str]) -> np.ndarray:
@@ -174,8 +204,31 @@ class Memo:
 class Coder:
     """Whole texts to ids as the library gives them."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], special: list[bytes]):
-        self.memo, self.encode_many, self.special = Memo(encode_many), encode_many, special
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], special: list[bytes], ends: np.ndarray | None = None):
+        """ends: of each id whether it ends a word, for a tokenizer whose chunks may be folded and joined()."""
+        self.memo, self.encode_many, self.special, self.ends = Memo(self.joined if ends is not None else lambda chunks: placed(encode_many(chunks))), encode_many, special, ends
+
+    def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks as placed() gives them; chunks of letters only go to the library with spaces between them."""
+        letters = [c.removeprefix(" ").isalpha() for c in chunks]
+        words, alone = [i for i, x in enumerate(letters) if x], [i for i, x in enumerate(letters) if not x]
+        start, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        pool, used = [], 0
+        for group, ids in zip(groups, self.encode_many([" ".join([chunks[i] for i in g]) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            # Each chunk ends one word at least, so as many ends as chunks are one each.
+            if len(stop) != len(group):
+                alone += group
+                continue
+            size[group] = n = np.diff(stop, prepend=0)
+            start[group] = used + stop - n
+            pool.append(ids)
+            used += len(ids)
+        start[alone], size[alone], ids = placed(self.encode_many([chunks[i] for i in alone]))
+        start[alone] += used
+        return start, size, np.concatenate([*pool, ids])
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one behind the other, where each text's begin and the last one's end); end, if given, closes each."""
@@ -200,7 +253,7 @@ class Coder:
         if any(re.search(re.escape(s), body) for s in self.special):
             return self._with_special(texts)
         begins = cuts(raw, bounds[:-1][np.diff(bounds) > 0])
-        ids, before = self.memo.gathered(*distinct(raw, begins))
+        ids, before = self.memo.gathered(*distinct(*(raw, begins) if self.ends is None else folded(raw, begins)))
         return ids, np.diff(before[np.searchsorted(begins, bounds)])
 
     def _with_special(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +268,22 @@ class Coder:
         return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
 
+def word_ends(state: dict) -> np.ndarray | None:
+    """Of each id whether it ends a word, where the tokenizer (its file's content) lower-cases, drops white space and marks ends; else None."""
+    kinds = [x["type"] for x in (state["normalizer"] or {}).get("normalizers", [])]
+    steps = (state["pre_tokenizer"] or {}).get("pretokenizers", [])
+    mark = state["model"].get("end_of_word_suffix")
+    if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or not mark:
+        return None
+    split, level = steps
+    if (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]) != ("Removed", True, False, False) or split["pattern"] != {"Regex": _WORDS}:
+        return None
+    out = np.zeros(1 + max([*state["model"]["vocab"].values(), *(x["id"] for x in state["added_tokens"])]), bool)
+    out[[i for piece, i in state["model"]["vocab"].items() if piece.endswith(mark)]] = True
+    return out
+
+
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _coders: dict[str, Coder] = {}
 
 
@@ -228,7 +297,7 @@ def coder(path: str) -> Coder:
         t.no_padding()
         t.no_truncation()
         special = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
-        _coders[path] = Coder(lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], special)
+        _coders[path] = Coder(lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], special, word_ends(json.loads(t.to_str())))
     return _coders[path]
 
 

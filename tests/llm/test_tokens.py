@@ -58,6 +58,23 @@ def test_any_text(texts):
         assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [whole(t) for t in texts]
 
 
+def test_folded_chunks_and_joined_words():
+    """One chunk for a word in any case and place; far fewer calls; ids as before, also where lower-casing and composing meet."""
+    texts = ["Word word WORD wOrd", " word\nword  Word\tword", "H\u0331 h\u0331 T\u0308x I\u0307 \u0130x \u1e96 Stra\u00dfe STRASSE \u01c5 \u2126 \u212a K", "a1b2 '' don't DON'T 'S x's \u02b0\u0301 \u0e33 ª º", ""]
+    texts += [" ".join("".join(rng.choice("aBcdEfghiß") for _ in range(6)) for _ in range(500))]
+    whole = library("word_bpe_49k.json")
+    made = token_memo.coder(public_tokenizers.path("word_bpe_49k.json"))
+    calls = []
+    c = token_memo.Coder(lambda xs: [calls.append(x) or y for x, y in zip(xs, made.encode_many(xs))], made.special, made.ends)
+    ids, at = c.encode(pa.array(texts))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [whole(t) for t in texts]
+    assert "word" in c.memo.known and not {"Word", " word", "WORD"} & set(c.memo.known)
+    calls.clear()
+    c.encode(pa.array([" ".join("".join(rng.choice("abcdefghi") for _ in range(8)) for _ in range(500))]))
+    assert len(calls) < 10
+    assert token_memo.coder(public_tokenizers.path("byte_bpe_50k.json")).ends is None
+
+
 def test_special_tokens_are_the_librarys():
     for name, want in (("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 49407)):
         ids, _ = token_memo.coder(public_tokenizers.path(name)).encode(pa.array(["a <|endoftext|> b"]))
