@@ -46,6 +46,17 @@ def _block_names(texts: DataFrame, size: int) -> tuple[DataFrame, int]:
     raise RuntimeError("ten seeds in a row gave two blocks the same 128-bit hash")
 
 
+def _occurrences(texts: DataFrame, size: int, seed: int) -> DataFrame:
+    """(doc_id, sha, n, pos, h1, h2) of each block of each text; n counts the text's blocks.
+
+    An outer explode, as every text has a block: for a plain one Spark infers a filter that the array isn't empty, pushes it
+    down to the scan with the array's whole expression in it, and so normalises the text once more for each of its blocks.
+    """
+    rows = texts.select("doc_id", F.unhex("sha").alias("sha"), F.transform(_blocks(size), lambda b: F.struct(*hash128(b, seed))).alias("b"))
+    rows = rows.select("doc_id", "sha", F.size("b").alias("n"), "b")  # before the explode, which else repeats the array in each row
+    return rows.select("doc_id", "sha", "n", F.posexplode_outer("b").alias("pos", "b")).select("doc_id", "sha", "n", "pos", "b.h1", "b.h2")
+
+
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -55,8 +66,7 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     """
     texts = docs.select(F.col("doc_id"), normalised().alias("norm")).select("doc_id", F.sha2("norm", 256).alias("sha"), F.col("norm").cast("binary").alias("bytes"))
     names, seed = _block_names(texts, block_bytes)
-    rows = texts.select("doc_id", F.unhex("sha").alias("sha"), F.transform(_blocks(block_bytes), lambda b: F.struct(*hash128(b, seed))).alias("b"))
-    rows = rows.select("doc_id", "sha", F.size("b").alias("n"), F.posexplode("b").alias("pos", "b")).select("doc_id", "sha", "n", "pos", "b.h1", "b.h2")
+    rows = _occurrences(texts, block_bytes, seed)
     # Repeated rows fall together here; times counts them.
     rows = rows.groupBy("doc_id", "sha", "n", "pos", "h1", "h2").agg(F.count(F.lit(1)).alias("times"))
     here = written(rows.join(names, ["h1", "h2"]).select("doc_id", "sha", "n", "pos", "name", "times"), "level")

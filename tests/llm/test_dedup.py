@@ -193,6 +193,21 @@ def test_exact_duplicates_empty_and_null(spark):
     assert (a.keep_id, a.group_size, a.kept + b.kept) == (None, 2, 1)
 
 
+def test_exact_duplicates_normalise_a_text_once_a_pass(spark, monkeypatch):
+    """No plan holds the pattern twice: in a filter inferred for the explode it would run once for each block of the text."""
+    plans, real = [], exact_dedup.written
+
+    def seen(df, tag):
+        plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")))
+        return real(df, tag)
+
+    monkeypatch.setattr(exact_dedup, "written", seen)
+    docs = frame(spark, [(1, "ab  c " * 9), (2, "ab c " * 9), (3, None)])
+    got = sorted((r.doc_id, r.keep_id) for r in exact_dedup.exact_duplicates(docs, block_bytes=16).collect())
+    assert got == [(1, 1), (2, 1), (3, 3)]
+    assert plans[:2] == [("blocks", 1), ("level", 1)] and max(n for _, n in plans) == 1
+
+
 def slow_lines(texts, min_chars=20, min_docs=3):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda s: s.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(low)
